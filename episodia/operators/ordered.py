@@ -44,11 +44,14 @@ def running_total(rows: DataFrame, value: Column, out: str, within: Sequence[str
     """
     names = [name for name, _ in levels]
     marked = rows.withColumns(dict(levels)).withColumn("_v", value)
-    sums = marked.groupBy(*within, *names).agg(F.sum("_v").alias("_s"))
-    by_depth = {len(names): sums}
+    kind = marked.schema["_v"].dataType  # sums keep it: decimals must not lose places on the way
+
+    def total(column: str) -> Column:
+        return F.sum(column).cast(kind).alias("_s")
+
+    by_depth = {len(names): marked.groupBy(*within, *names).agg(total("_v"))}
     for depth in range(len(names) - 1, 0, -1):
-        by_depth[depth] = by_depth[depth + 1].groupBy(*within, *names[:depth]).agg(
-            F.sum("_s").alias("_s"))
+        by_depth[depth] = by_depth[depth + 1].groupBy(*within, *names[:depth]).agg(total("_s"))
 
     offsets = None
     for depth in range(1, len(names) + 1):
@@ -56,17 +59,17 @@ def running_total(rows: DataFrame, value: Column, out: str, within: Sequence[str
         window = Window.partitionBy(*outer).orderBy(names[depth - 1])
         step = by_depth[depth].withColumn(
             "_before", F.sum("_s").over(window.rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_s")).drop("_s")
+            .cast(kind) - F.col("_s")).drop("_s")
         if offsets is not None:
             step = step.join(offsets.withColumnRenamed("_before", "_up"), outer)
-            step = step.withColumn("_before", F.col("_before") + F.col("_up")).drop("_up")
+            step = step.withColumn("_before", (F.col("_before") + F.col("_up")).cast(kind)).drop("_up")
         offsets = step
 
     inner = Window.partitionBy(*within, *names).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
     return (
         marked.join(offsets, [*within, *names])
-        .withColumn(out, F.col("_before") + F.sum("_v").over(inner))
+        .withColumn(out, (F.col("_before") + F.sum("_v").over(inner).cast(kind)).cast(kind))
         .drop("_v", "_before", *names)
     )
 

@@ -171,11 +171,11 @@ def answer_windows(rolls: DataFrame, spells: DataFrame, players: DataFrame, memb
     parts.append(_answers(s.spell_last_per_character(single_cells, BY), "spell_last_per_character", "answer"))
 
     # several episodes only
-    probe = materialize(w.probe_ordinals(several, BY, k=probes))
+    probe = materialize(w.probe_ordinals(several, w.WINDOW, k=probes))
 
     def probed(rows: DataFrame, kind: str | Column) -> DataFrame:
         tagged = rows.withColumn("kind", F.lit(kind) if isinstance(kind, str) else kind)
-        return tagged.join(probe, [*BY, "kind", "ordinal"])
+        return tagged.join(probe, [*w.WINDOW, "kind", "ordinal"])
 
     for cells, label in ((roll_cells, "rolls"), (spell_cells, "spells")):
         running = r.cumulative(several, t.row_count(cells, EPISODE), BY)

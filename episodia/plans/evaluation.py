@@ -106,7 +106,7 @@ def running_score(scored_batches: DataFrame) -> DataFrame:
     ``score`` must be exact (decimal), so that the running value does not depend on partitioning.
     """
     per_batch = scored_batches.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("score").alias("batch_score"))
+        F.count(F.lit(1)).alias("n"), F.sum("score").cast("decimal(28,12)").alias("batch_score"))
     levels = seq_levels("batch_id")
     counted = running_total(per_batch, F.col("n"), "rows_so_far", [], levels, [F.col("batch_id")])
     scored = running_total(counted, F.col("batch_score"), "sum_so_far", [], levels, [F.col("batch_id")])
