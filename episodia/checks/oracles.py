@@ -302,13 +302,13 @@ QCTES = {
     "rw": "SELECT m.context_window_id, m.single, m.ordinal, r.* FROM mem m JOIN roll_log r USING (campaign, episode)",
     "sw": "SELECT m.context_window_id, m.single, m.ordinal, r.* FROM mem m JOIN spell_log r USING (campaign, episode)",
     "picked": " UNION ALL ".join((
-        sampled("context_window_id, campaign", "roll_character", "character", "rw", VALID_CHARACTER),
-        sampled("context_window_id, campaign", "roll_type", "roll_type", "rw", VALID_TYPE),
-        sampled("context_window_id, campaign", "roll_value", "roll_value",
-                "(SELECT context_window_id, campaign, roll_value FROM ctx CROSS JOIN roll_values)", "true"),
-        sampled("context_window_id, campaign", "spell_character", "character", "sw", VALID_CHARACTER),
-        sampled("context_window_id, campaign", "spell", "spell", "sw", VALID_SPELL))),
-    "probed": probes("context_window_id, campaign", "(SELECT * FROM mem WHERE NOT single)"),
+        sampled("context_window_id", "roll_character", "character", "rw", VALID_CHARACTER),
+        sampled("context_window_id", "roll_type", "roll_type", "rw", VALID_TYPE),
+        sampled("context_window_id", "roll_value", "roll_value",
+                "(SELECT context_window_id, roll_value FROM ctx CROSS JOIN roll_values)", "true"),
+        sampled("context_window_id", "spell_character", "character", "sw", VALID_CHARACTER),
+        sampled("context_window_id", "spell", "spell", "sw", VALID_SPELL))),
+    "probed": probes("context_window_id", "(SELECT * FROM mem WHERE NOT single)"),
     "heads": f"SELECT *, row_number() OVER (PARTITION BY {EK} ORDER BY seq) AS rn, "
              f"row_number() OVER (PARTITION BY {EK} ORDER BY seq DESC) AS back FROM spell_log",
 }
@@ -471,9 +471,8 @@ ORACLES["context_len_range"] = (
     f"SELECT * FROM ({ORACLES['context_len']}) WHERE context_len > {fixed.MIN_CONTEXT_LEN} "
     f"AND context_len <= {fixed.MAX_CONTEXT_LEN}")
 ORACLES["text_variant_select"] = (
-    "SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS context_md5 FROM (SELECT d.doc_id, concat(d.text, "
-    "CASE WHEN l.doc_id IS NULL THEN '' ELSE concat(' [quality ', CAST(l.quality AS VARCHAR), ']') END) AS t "
-    "FROM documents d LEFT JOIN labels l USING (doc_id))")
+    "SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS context_md5 FROM "
+    "(SELECT doc_id, concat(text, ' [language ', lang, ']') AS t FROM documents)")
 ORACLES["prompt_messages"] = (
     f"SELECT CAST(doc_id AS VARCHAR) AS id, 0 AS message_no, 0 AS part_no, 'system' AS role, md5({quoted(fixed.SYSTEM_TEXT)}) AS text, "
     "CAST(NULL AS VARCHAR) AS cache_control FROM documents UNION ALL "

@@ -14,11 +14,11 @@ from ..functions import fixed_values as fixed
 from ..operators import tallies as t
 from ..operators import windows as w
 from ..plans import assemble, evaluation as ev, rolls as r, scoring, spells as s
-from ..session import shared_folder
+from ..session import materialize, shared_folder
 from ..sources import dialogue, results
 from ..sources.logs import player_map
 from ..streaming.score_stream import score_stream
-from .views import VIEWS, table, view, window_members
+from .views import SCHEMAS, VIEWS, table, view, window_members
 
 E = t.EPISODE
 W = ("window_key", "campaign")
@@ -306,9 +306,9 @@ def _(spark, d):
 
 @query("context_window_text")
 def _(spark, d):
-    chunks = dialogue.text_chunks(lines(spark, d))
+    chunks = materialize(dialogue.text_chunks(lines(spark, d)))
     prompts = assemble.player_prompt(players(spark, d))
-    return assemble.context_texts(members(spark, d), chunks, W, prompts)
+    return assemble.context_texts(members(spark, d), chunks, W, prompts).drop("parts")
 
 
 # --- evaluation planning -----------------------------------------------------------------------------------------
@@ -329,13 +329,10 @@ def _(spark, d):
 
 @query("text_variant_select")
 def _(spark, d):
-    marks = table(spark, d, "labels").select("doc_id", F.concat(
-        F.lit(" [quality "), F.col("quality").cast("string"), F.lit("]")).alias("mark"))
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("context_window_text"))
-    both = docs.join(marks, "doc_id", "left").withColumn(
-        "context_window_text_with_labels",
-        F.concat("context_window_text", F.coalesce("mark", F.lit(""))))
-    picked = ev.text_variant(both, labels=True)
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.col("text").alias("context_window_text"),
+        F.concat("text", F.lit(" [language "), "lang", F.lit("]")).alias("context_window_text_with_labels"))
+    picked = ev.text_variant(docs, labels=True)
     return picked.select("doc_id", F.length("context").cast("bigint").alias("chars"),
                          F.md5("context").alias("context_md5"))
 
@@ -482,8 +479,7 @@ def _(spark, d):
     import uuid
 
     base, _, columns = VIEWS["boxed_outputs"]
-    schema = table(spark, d, base).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{base}.parquet").parquet(d)
+    stream = spark.readStream.schema(SCHEMAS[base]).option("pathGlobFilter", f"{base}.parquet").parquet(d)
     arriving = stream.selectExpr(*[f"{columns[c]} AS {c}" for c in ("id", "output", "finish_reason")])
     folder = f"{shared_folder(spark)}/score-stream-{uuid.uuid4()}"
     job = score_stream(arriving, datapoints(spark, d), f"{folder}/rows", f"{folder}/progress",

@@ -104,10 +104,10 @@ def occurrences(text: Column, phrase: str) -> Column:
 def word_count(text: Column) -> Column:
     """Default length measure: runs of word characters, and every other visible character.
 
-    Each run shrinks to one character and white space to none, so the length of what is left is
-    the number of tokens; no array of tokens is ever built.
+    Each run (with the blanks behind it) shrinks to one character and other white space to none, so
+    the length of what is left is the number of tokens; no array of tokens is ever built.
     """
-    runs = F.regexp_replace(text, "\\w+", "w")
+    runs = F.regexp_replace(text, "\\w+\\s*", "w")
     return F.length(F.regexp_replace(runs, "\\s+", "")).cast("bigint")
 
 

@@ -33,45 +33,47 @@ def head_lists(heads: DataFrame, by: Sequence[str], value: str, ks: Sequence[int
         F.coalesce(listing(value, "seq"), F.lit("")).alias("answer"))
 
 
-def running_total(rows: DataFrame, value: Column, out: str, within: Sequence[str],
-                  levels: Sequence[tuple[str, Column]], order: Sequence[Column]) -> DataFrame:
-    """Running sum of ``value`` over a total order, without one task per group.
+def running_totals(rows: DataFrame, values: dict[str, Column], within: Sequence[str],
+                   levels: Sequence[tuple[str, Column]], order: Sequence[Column]) -> DataFrame:
+    """Running sums over a total order, without one task per group; ``values`` maps names to summands.
 
     ``levels`` are buckets from coarse to fine; each must keep the order (a row of a lower bucket
     comes before every row of a higher one) and the finest must hold few rows. Bucket sums are
     rolled up level by level, turned into offsets from the top down, and joined back; the row-level
-    window then runs inside one finest bucket and shares the join's partitioning.
+    window then runs inside one finest bucket and shares the join's partitioning. ``rows`` is read
+    twice, so an expensive input should be a written table.
     """
     names = [name for name, _ in levels]
-    marked = rows.withColumns(dict(levels)).withColumn("_v", value)
-    kind = marked.schema["_v"].dataType  # sums keep it: decimals must not lose places on the way
+    marked = rows.withColumns({**dict(levels), **{f"_v_{out}": value for out, value in values.items()}})
+    kinds = {out: marked.schema[f"_v_{out}"].dataType for out in values}
 
-    def total(column: str) -> Column:
-        return F.sum(column).cast(kind).alias("_s")
+    def upto(window: Window, prefix: str) -> dict[str, Column]:
+        # sums keep the summand's type: decimals must not lose places on the way
+        return {out: F.sum(f"{prefix}{out}").over(window.rowsBetween(Window.unboundedPreceding, 0))
+                .cast(kinds[out]) for out in values}
 
-    by_depth = {len(names): marked.groupBy(*within, *names).agg(total("_v"))}
+    def summed(source: DataFrame, depth: int, prefix: str) -> DataFrame:
+        return source.groupBy(*within, *names[:depth]).agg(
+            *[F.sum(f"{prefix}{out}").cast(kinds[out]).alias(f"_s_{out}") for out in values])
+
+    by_depth = {len(names): summed(marked, len(names), "_v_")}
     for depth in range(len(names) - 1, 0, -1):
-        by_depth[depth] = by_depth[depth + 1].groupBy(*within, *names[:depth]).agg(total("_s"))
+        by_depth[depth] = summed(by_depth[depth + 1], depth, "_s_")
 
     offsets = None
     for depth in range(1, len(names) + 1):
         outer = [*within, *names[: depth - 1]]
-        window = Window.partitionBy(*outer).orderBy(names[depth - 1])
-        step = by_depth[depth].withColumn(
-            "_before", F.sum("_s").over(window.rowsBetween(Window.unboundedPreceding, 0))
-            .cast(kind) - F.col("_s")).drop("_s")
-        if offsets is not None:
-            step = step.join(offsets.withColumnRenamed("_before", "_up"), outer)
-            step = step.withColumn("_before", (F.col("_before") + F.col("_up")).cast(kind)).drop("_up")
-        offsets = step
-
-    inner = Window.partitionBy(*within, *names).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0)
-    return (
-        marked.join(offsets, [*within, *names])
-        .withColumn(out, (F.col("_before") + F.sum("_v").over(inner).cast(kind)).cast(kind))
-        .drop("_v", "_before", *names)
-    )
+        running = upto(Window.partitionBy(*outer).orderBy(names[depth - 1]), "_s_")
+        step = by_depth[depth] if offsets is None else by_depth[depth].join(offsets, outer)
+        above = {out: F.lit(0) if offsets is None else F.col(f"_o_{out}") for out in values}
+        offsets = step.select(*within, *names[:depth], *[
+            (running[out] - F.col(f"_s_{out}") + above[out]).cast(kinds[out]).alias(f"_o_{out}")
+            for out in values])
+
+    inner = upto(Window.partitionBy(*within, *names).orderBy(*order), "_v_")
+    return marked.join(offsets, [*within, *names]).select(
+        *rows.columns,
+        *[(F.col(f"_o_{out}") + inner[out]).cast(kinds[out]).alias(out) for out in values])
 
 
 def seq_levels(order: str, fine: int = 1 << 12, coarse: int = 1 << 24) -> list[tuple[str, Column]]:
@@ -94,7 +96,7 @@ def text_levels(first: str, second: str, width: int = 4) -> list[tuple[str, Colu
 def positions(rows: DataFrame, out: str, within: Sequence[str],
               levels: Sequence[tuple[str, Column]], order: Sequence[Column]) -> DataFrame:
     """1-based place of each row in a total order."""
-    return running_total(rows, F.lit(1).cast("bigint"), out, within, levels, order)
+    return running_totals(rows, {out: F.lit(1).cast("bigint")}, within, levels, order)
 
 
 def list_parts(log: DataFrame, by: Sequence[str], value: str, part_rows: int = 100_000) -> DataFrame:

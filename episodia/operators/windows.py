@@ -86,10 +86,10 @@ def sampled_windows(episodes: DataFrame, toy: bool = False) -> DataFrame:
     return single_windows(episodes, count).unionByName(multi_windows(episodes, count=count))
 
 
-def members_of(windows: DataFrame) -> DataFrame:
+def members_of(windows: DataFrame, *carried: str) -> DataFrame:
     """One row per window and episode; ``ordinal`` is the 1-based place in the window."""
-    return windows.select(*WINDOW, F.posexplode("episodes").alias("ordinal", "episode")).select(
-        *WINDOW, "episode", (F.col("ordinal") + 1).alias("ordinal"))
+    return windows.select(*WINDOW, *carried, F.posexplode("episodes").alias("ordinal", "episode")).select(
+        *WINDOW, *carried, "episode", (F.col("ordinal") + 1).alias("ordinal"))
 
 
 def number_members(members: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import (clean_text, is_upcast, percentage, question_id, usable_answer)
+from ..functions.text import (clean_text, is_upcast, percentage, question_id, usable_answer,
+                              valid_character, valid_roll_type, valid_spell)
 from ..operators import ordered as o
 from ..operators import tallies as t
 from ..operators import windows as w
@@ -19,9 +20,28 @@ from ..sources.dialogue import PART_CHARS
 from . import rolls as r
 from . import spells as s
 
-BY = ("context_window_id", "campaign", "single")
+KEY = ("context_window_id",)
 QA_COLUMNS = ("id", "context_window_id", "question", "answer", "question_type", "episodes", "campaign")
 
+# sampled parameter kind -> (question kind, fact that counts it)
+PARAM_QUESTIONS = {
+    "roll_character": (("rolls_by_character", "roll_character"),),
+    "roll_type": (("rolls_by_type", "roll_type"),),
+    "roll_value": (("rolls_by_value", "roll_value"), ("rolls_value_pct", "roll_value")),
+    "spell_character": (("spells_by_character", "spell_character"),),
+    "spell": (("spells_by_name", "spell"), ("spell_caster_count", "caster_count")),
+}
+# question kind -> (fact, value or None for any) whose counts it sums
+FIXED_QUESTIONS = {
+    "rolls_total": (("rolls", None),),
+    "crits": (("roll_value", "1"), ("roll_value", "20")),
+    "nat20s": (("roll_value", "20"),),
+    "nat1s": (("roll_value", "1"),),
+    "spells_total": (("spells", None),),
+    "cantrips": (("cantrip", None),),
+    "upcast_count": (("upcast", None),),
+}
+
 
 @dataclass
 class QuestionSet:
@@ -35,183 +55,245 @@ class QuestionSet:
 def build_questions(rolls: DataFrame, spells: DataFrame, players: DataFrame,
                     transcripts: DataFrame, toy: bool = False) -> QuestionSet:
     """Sample windows among the episodes that have a transcript and answer every question kind on each."""
-    episodes = w.with_transcript(w.episodes_of(spells), transcripts)
+    episodes = materialize(w.with_transcript(w.episodes_of(spells), transcripts))
     windows = materialize(w.sampled_windows(episodes, toy))
-    members = w.members_of(windows).join(
-        windows.select("context_window_id", (F.size("episodes") == 1).alias("single")),
-        "context_window_id")
-    members = materialize(members.select(*BY, "episode", "ordinal"))
-    answers = answer_windows(rolls, spells, players, members,
+    members = w.members_of(windows)
+    answers = answer_windows(rolls, spells, players, windows,
                              fixed.PROBES_TOY if toy else fixed.PROBES)
     return QuestionSet(windows, members, finish(answers, windows))
 
 
-def _facets(cells: DataFrame, facets: dict[str, Column]) -> DataFrame:
-    """Counts per facet and value, all facets in one shuffle."""
-    pairs = F.array(*[F.struct(F.lit(name).alias("facet"), value.alias("value"))
-                      for name, value in facets.items()])
-    long = cells.select(*BY, "n", "first_seq", "last_seq", F.inline(pairs))
-    return t.compact(long.where(F.col("value").isNotNull()), [*BY, "facet", "value"])
+def episode_facts(rolls: DataFrame, spells: DataFrame, episodes: DataFrame) -> DataFrame:
+    """What the questions count, per episode: ``(campaign, episode, fact, v1, v2, n, first…, last…)``.
+
+    Each log is scanned once, cut to the wanted episodes and folded to cells; cells are unfolded to
+    facts, which one aggregation sums. ``n`` counts log rows; ``first_spell`` and ``last_spell`` are
+    the outermost named spells of a fact in file order.
+    """
+    def cells_of(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return t.compact(t.as_cells(log.join(episodes, list(EPISODE), "left_semi")), [*EPISODE, *keys])
+
+    def fact(name: str, v1: Column | None = None, v2: Column | None = None,
+             when: Column | None = None) -> Column:
+        value = F.lit("") if v1 is None else v1
+        return F.struct(
+            F.lit(name).alias("fact"), (value if when is None else F.when(when, value)).alias("v1"),
+            (F.lit("") if v2 is None else v2).alias("v2"))
+
+    def facts_of(cells: DataFrame, facts: Sequence[Column], spell_column: Column) -> DataFrame:
+        return cells.select(*EPISODE, "n", "first_seq", "last_seq", spell_column.alias("spell"),
+                            F.inline(F.array(*facts))).where("v1 is not null")
+
+    character, spell = F.col("character"), F.col("spell")
+    upcast = is_upcast(F.col("cast_at"), F.col("base_lvl"))
+    of_rolls = (
+        fact("rolls"), fact("roll_character", character), fact("roll_type", F.col("roll_type")),
+        fact("roll_value", F.col("natural_value")),
+    )
+    of_spells = (
+        fact("spells"), fact("cantrip", when=F.col("base_lvl") == fixed.CANTRIP),
+        fact("upcast", when=upcast), fact("spell_character", character), fact("spell", spell),
+        fact("upcast_spell", spell, when=upcast), fact("caster", spell, character),
+    )
+    rows = facts_of(cells_of(rolls, r.ROLL_KEYS), of_rolls, F.lit(None).cast("string")).unionByName(
+        facts_of(cells_of(spells, s.SPELL_KEYS), of_spells, spell))
+    named = spell.isNotNull()
+    return rows.groupBy(*EPISODE, "fact", "v1", "v2").agg(
+        F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"),
+        F.min_by("spell", F.when(named, F.col("first_seq"))).alias("first_spell"),
+        F.max_by("spell", F.when(named, F.col("last_seq"))).alias("last_spell"))
+
 
+def window_facts(facts: DataFrame, members: DataFrame) -> DataFrame:
+    """Episode facts summed per window; who cast what is left to the windows that ask for it."""
+    additive = facts.where("fact <> 'caster'").select(*EPISODE, "fact", "v1", "n", "first_seq")
+    return w.spread(additive, members).groupBy(*KEY, "fact", "v1").agg(
+        F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
 
-def _answers(rows: DataFrame, kind: str | Column, answer: Column | str,
-             p1: Column | str | None = None, p2: Column | str | None = None) -> DataFrame:
-    def text(value):
-        return F.lit("") if value is None else (F.col(value) if isinstance(value, str) else value).cast("string")
 
-    return rows.select(*BY, (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
-                       text(p1).alias("p1"), text(p2).alias("p2"), text(answer).alias("answer"))
+def edge_spells(spells: DataFrame, episodes: DataFrame, k: int = 3) -> DataFrame:
+    """First and last ``k`` rows of each wanted episode; ``pos`` counts from that end."""
+    rows = spells.join(episodes, list(EPISODE), "left_semi").select(*EPISODE, "seq", "spell")
+    ends = [o.head_rows(rows, EPISODE, k, last).withColumn("edge", F.lit(edge))
+            for edge, last in (("first", False), ("last", True))]
+    return ends[0].unionByName(ends[1])
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
+def answer_windows(rolls: DataFrame, spells: DataFrame, players: DataFrame, windows: DataFrame,
+                   probes: int = fixed.PROBES) -> DataFrame:
+    """Answers of all question kinds for all windows: ``(window, kind, p1, p2, answer)``."""
+    members = w.members_of(windows.withColumn("single", F.size("episodes") == 1), "single")
+    episodes = members.select(*EPISODE).distinct()
+    by_episode = materialize(episode_facts(rolls, spells, episodes))
+    edges = materialize(edge_spells(spells, episodes))
+    facts = materialize(window_facts(by_episode, members))
+    params = materialize(sampled_params(facts, windows))
+    alone, several = members.where("single"), members.where("not single")
+    probe = w.probe_ordinals(several, KEY, k=probes)
+
+    counted = param_counts(facts, caster_counts(by_episode, members, params), params)
+    parts = [
+        counted.select(*KEY, "kind", "p1", F.lit("").alias("p2"), F.col("n").cast("string").alias("answer")),
+        player_counts(counted, players, windows),
+        fixed_counts(facts, windows),
+        listed_answers(facts, by_episode, edges, params, alone, several),
+        cumulative_counts(by_episode, params, several, probe),
+        nth_answers(edges, several, probe),
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def answer_windows(rolls: DataFrame, spells: DataFrame, players: DataFrame, members: DataFrame,
-                   probes: int = fixed.PROBES) -> DataFrame:
-    """Answers of all question kinds for all windows: ``(BY, kind, p1, p2, answer)``.
-
-    Each log is scanned once, cut to the sampled episodes and folded to cells. Everything after
-    that runs on tables whose size is set by the vocabulary, not by the length of the logs.
-    """
-    wanted = members.select(*EPISODE).distinct()
-
-    def cells_of(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-        kept = log.join(wanted, list(EPISODE), "left_semi")
-        return materialize(t.compact(t.as_cells(kept), [*EPISODE, *keys]))
-
-    roll_cells = cells_of(rolls, r.ROLL_KEYS)
-    spell_cells = cells_of(spells, s.SPELL_KEYS)
-    spell_rows = spells.join(wanted, list(EPISODE), "left_semi").select(*EPISODE, "seq", "spell")
-    heads = materialize(o.head_rows(spell_rows, EPISODE, 3))
-
-    roll_w = w.spread(roll_cells, members)
-    spell_w = materialize(w.spread(spell_cells, members))
-    groups = members.select(*BY).distinct()
-    several = members.where(~F.col("single"))
-
-    roll_facets = materialize(_facets(roll_w, {
-        "roll_character": F.col("character"), "roll_type": F.col("roll_type"),
-        "roll_value": F.col("natural_value"), "all": F.lit("")}))
-    spell_facets = materialize(_facets(spell_w, {
-        "spell_character": F.col("character"), "spell": F.col("spell"),
-        "upcast": F.when(is_upcast(F.col("cast_at"), F.col("base_lvl")), F.col("spell"))}))
-    params = materialize(_sample_params(roll_facets, spell_facets, groups))
-
-    def sampled(kind: str, name: str = "value") -> DataFrame:
-        return params.where(F.col("kind") == kind).select(*BY, F.col("value").alias(name))
-
-    def counted(facets: DataFrame, facet: str) -> DataFrame:
-        pick = sampled(facet)
-        return facets.where(F.col("facet") == facet).join(pick, [*BY, "value"]).select(
-            *BY, F.col("value"), "n")
-
-    parts = []
-
-    # rolls: one wide row per window, zero where nothing was rolled
-    wide = roll_facets.where("facet in ('roll_value', 'all')").groupBy(*BY).agg(
-        F.sum(F.when(F.col("facet") == "all", F.col("n"))).alias("total"),
-        *[F.sum(F.when((F.col("facet") == "roll_value") & (F.col("value") == v), F.col("n"))).alias(f"v{v}")
-          for v in fixed.ROLL_VALUES])
-    wide = groups.join(wide, list(BY), "left").na.fill(0)
-    fixed_rolls = wide.select(*BY, F.expr(
-        "stack(4, 'rolls_total', total, 'crits', v1 + v20, 'nat20s', v20, 'nat1s', v1) as (kind, n)"))
-    parts.append(_answers(fixed_rolls, F.col("kind"), "n"))
-    values = r.values_long(wide, BY).join(sampled("roll_value", "roll_value"), [*BY, "roll_value"])
-    both = values.select(*BY, "roll_value", F.inline(F.array(
-        F.struct(F.lit("rolls_by_value").alias("kind"), F.col("n").alias("n")),
-        F.struct(F.lit("rolls_value_pct").alias("kind"), percentage(F.col("n"), F.col("total")).alias("n")))))
-    parts.append(_answers(both, F.col("kind"), "n", "roll_value"))
-
-    for facets, facet, label in ((roll_facets, "roll_character", "rolls"),
-                                 (spell_facets, "spell_character", "spells")):
-        by_character = counted(facets, facet)
-        parts.append(_answers(by_character, f"{label}_by_character", "n", "value"))
-        by_player = r.by_player(by_character.withColumnRenamed("value", "character"), players)
-        parts.append(_answers(by_player, f"{label}_by_player", "n", "player"))
-    parts.append(_answers(counted(roll_facets, "roll_type"), "rolls_by_type", "n", "value"))
-    parts.append(_answers(counted(spell_facets, "spell"), "spells_by_name", "n", "value"))
-
-    ranked = [*BY, "facet"]
-    for facets, names in (
-        (roll_facets, {"roll_type": "roll_type", "roll_value": "roll_value"}),
-        (spell_facets, {"spell": "spell"}),
-    ):
-        kept = facets.where(F.col("facet").isin(*names))
-        for ties, suffix in ((t.most_common, "_mode"), (t.least_common, "_rarest")):
-            parts.append(_answers(ties(kept, ranked, "value"),
-                                  F.concat("facet", F.lit(suffix)), "answer"))
-
-    # spells
-    spell_wide = t.totals(spell_w, BY, total=F.lit(1), cantrips=t.flag(F.col("base_lvl") == fixed.CANTRIP),
-                          upcast=t.flag(is_upcast(F.col("cast_at"), F.col("base_lvl"))))
-    spell_wide = groups.join(spell_wide, list(BY), "left").na.fill(0)
-    fixed_spells = spell_wide.select(*BY, F.expr(
-        "stack(3, 'spells_total', total, 'cantrips', cantrips, 'upcast_count', upcast) as (kind, n)"))
-    parts.append(_answers(fixed_spells, F.col("kind"), "n"))
-    casters = materialize(t.distinct_count(spell_w, BY, "spell", "character"))
-    parts.append(_answers(casters.join(sampled("spell", "spell"), [*BY, "spell"]),
-                          "spell_caster_count", "n", "spell"))
-    shared = casters.where("single and n > 1").groupBy(*BY).agg(listing("spell", "first_seq").alias("answer"))
-    parts.append(_answers(shared, "spells_multi_caster", "answer"))
-    upcast = spell_facets.where(F.col("facet") == "upcast")
-    parts.append(_answers(t.values_in_order(upcast, BY, "value"), "upcast_spells", "answer"))
-
-    # one episode only
-    alone = members.where("single")
-    tails = o.head_rows(spell_rows.join(alone, list(EPISODE), "left_semi"), EPISODE, 3, last=True)
-    for edge, name in ((heads, "first"), (tails, "last")):
-        lists = o.head_lists(alone.join(edge, list(EPISODE)), BY, "spell", (1, 2, 3))
-        parts.append(_answers(lists, F.concat(F.lit(f"{name}_"), F.col("k")), "answer"))
-    single_cells = spell_w.where("single")
-    parts.append(_answers(s.spell_first_per_character(single_cells, BY), "spell_first_per_character", "answer"))
-    parts.append(_answers(s.spell_last_per_character(single_cells, BY), "spell_last_per_character", "answer"))
-
-    # several episodes only
-    probe = materialize(w.probe_ordinals(several, w.WINDOW, k=probes))
-
-    def probed(rows: DataFrame, kind: str | Column) -> DataFrame:
-        tagged = rows.withColumn("kind", F.lit(kind) if isinstance(kind, str) else kind)
-        return tagged.join(probe, [*w.WINDOW, "kind", "ordinal"])
-
-    for cells, label in ((roll_cells, "rolls"), (spell_cells, "spells")):
-        running = r.cumulative(several, t.row_count(cells, EPISODE), BY)
-        parts.append(_answers(probed(running, f"{label}_cumulative"), F.col("kind"), "n", "ordinal"))
-    running = r.rolls_cumulative_by_character(
-        roll_cells, several, sampled("roll_character", "character"), BY)
-    parts.append(_answers(probed(running, "rolls_cumulative_by_character"), F.col("kind"), "n",
-                          "character", "ordinal"))
-    nth = s.nth_of(heads, several, BY)
-    parts.append(_answers(probed(nth, F.concat(F.lit("nth_"), F.col("nth"))), F.col("kind"), "spell", "ordinal"))
-    many = spell_w.where("not single")
-    parts.append(_answers(s.first_spell_per_episode(many, BY), "first_spell_per_episode", "answer"))
-    parts.append(_answers(s.last_spell_per_episode(many, BY), "last_spell_per_episode", "answer"))
-    chosen = many.join(sampled("spell_character", "character"), [*BY, "character"])
-    parts.append(_answers(s.first_spell_by_character(chosen, BY), "first_spell_by_character",
-                          "answer", "character"))
-    parts.append(_answers(s.last_spell_by_character(chosen, BY), "last_spell_by_character",
-                          "answer", "character"))
-    return _union(parts)
-
-
-def _sample_params(roll_facets: DataFrame, spell_facets: DataFrame, groups: DataFrame) -> DataFrame:
-    value = F.col("value")
-    valid = {
-        "roll_character": w.valid_character(value), "roll_type": w.valid_roll_type(value),
-        "spell_character": w.valid_character(value), "spell": w.valid_spell(value),
-    }
-    rows = roll_facets.unionByName(spell_facets).where(F.col("facet").isin(*valid))
-    usable = F.lit(False)
-    for facet, condition in valid.items():
-        usable = usable | ((F.col("facet") == facet) & condition)
-    rows = rows.where(usable).select(*BY, F.col("facet").alias("kind"), "value")
-    order = [w.draw("context_window_id", "campaign", "kind", "value"), F.col("value")]
-    picked = w.keep_smallest(rows, [*BY, "kind"], order, fixed.PARAMS_PER_KIND).drop("_rank")
-    values = w.sample_roll_values(groups.select(*w.WINDOW), w.WINDOW).join(groups, list(w.WINDOW))
-    return picked.unionByName(values.select(*picked.columns))
+def sampled_params(facts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Up to two characters, types, values and spells per window: ``(window, kind, value)``."""
+    value = F.col("v1")
+    valid = ((F.col("fact").isin("roll_character", "spell_character") & valid_character(value))
+             | ((F.col("fact") == "roll_type") & valid_roll_type(value))
+             | ((F.col("fact") == "spell") & valid_spell(value)))
+    seen = facts.where(valid).select(*KEY, F.col("fact").alias("kind"), value.alias("value"))
+    dice = windows.select(*KEY, F.lit("roll_value").alias("kind"), F.explode(
+        F.array(*[F.lit(v) for v in fixed.ROLL_VALUES])).alias("value"))
+    order = [w.draw(*KEY, "kind", "value"), F.col("value")]
+    return w.keep_smallest(seen.unionByName(dice), [*KEY, "kind"], order,
+                           fixed.PARAMS_PER_KIND).drop("_rank")
+
+
+def caster_counts(by_episode: DataFrame, members: DataFrame, params: DataFrame) -> DataFrame:
+    """Distinct characters who cast each sampled spell of a window."""
+    asked = params.where("kind = 'spell'").select(*KEY, F.col("value").alias("v1")).join(members, list(KEY))
+    pairs = by_episode.where("fact = 'caster'").select(*EPISODE, "v1", "v2")
+    return asked.join(pairs, [*EPISODE, "v1"]).groupBy(*KEY, "v1").agg(F.countDistinct("v2").alias("n"))
+
+
+def param_counts(facts: DataFrame, casters: DataFrame, params: DataFrame) -> DataFrame:
+    """Counts asked for a sampled parameter, zero where it never occurs."""
+    asked = F.create_map(*[x for kind, questions in PARAM_QUESTIONS.items() for x in (
+        F.lit(kind), F.array(*[F.struct(F.lit(q).alias("question"), F.lit(f).alias("fact"))
+                               for q, f in questions]))])
+    wanted = params.select(*KEY, F.col("value").alias("v1"), F.inline(F.element_at(asked, F.col("kind"))))
+    sources = facts.select(*KEY, "fact", "v1", "n").unionByName(
+        casters.select(*KEY, F.lit("caster_count").alias("fact"), "v1", "n"))
+    total = facts.where("fact = 'rolls'").select(*KEY, F.col("n").alias("total"))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    return wanted.join(sources, [*KEY, "fact", "v1"], "left").join(total, list(KEY), "left").select(
+        *KEY, F.col("question").alias("kind"), F.col("v1").alias("p1"),
+        F.when(F.col("question") == "rolls_value_pct", percentage(n, F.col("total"))).otherwise(n).alias("n"))
+
+
+def player_counts(counted: DataFrame, players: DataFrame, windows: DataFrame) -> DataFrame:
+    rows = counted.where("kind in ('rolls_by_character', 'spells_by_character')")
+    if "campaign" in players.columns:
+        rows = rows.join(windows.select(*KEY, "campaign"), list(KEY))
+    by_player = r.by_player(rows.withColumnRenamed("p1", "character"), players)
+    return by_player.select(
+        *KEY, F.replace("kind", F.lit("character"), F.lit("player")).alias("kind"),
+        F.col("player").alias("p1"), F.lit("").alias("p2"), F.col("n").cast("string").alias("answer"))
+
+
+def fixed_counts(facts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Counts every window is asked for; a zero row per window and kind keeps empty ones."""
+    def asks(kind: str) -> Column:
+        hit = F.lit(False)
+        for fact, value in FIXED_QUESTIONS[kind]:
+            same = F.col("fact") == fact
+            hit = hit | (same if value is None else same & (F.col("v1") == value))
+        return F.when(hit, kind)
+
+    kinds = F.array_compact(F.array(*[asks(kind) for kind in FIXED_QUESTIONS]))
+    found = facts.select(*KEY, F.explode(kinds).alias("kind"), "n")
+    zero = windows.select(*KEY, F.explode(F.array(*[F.lit(k) for k in FIXED_QUESTIONS])).alias("kind"),
+                          F.lit(0).cast("bigint").alias("n"))
+    summed = found.unionByName(zero).groupBy(*KEY, "kind").agg(F.sum("n").cast("string").alias("answer"))
+    return summed.select(*KEY, "kind", F.lit("").alias("p1"), F.lit("").alias("p2"), "answer")
+
+
+def listed_answers(facts: DataFrame, by_episode: DataFrame, edges: DataFrame, params: DataFrame,
+                   alone: DataFrame, several: DataFrame) -> DataFrame:
+    """All list answers: rows ``(window, kind, p1, item, order)`` from every source, one aggregation."""
+    def at(number: str) -> Column:
+        return F.format_string("%020d", F.col(number).cast("bigint"))
+
+    def item(kind: Column, text: Column | str, order: Column) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        return F.struct(kind.alias("kind"), text.alias("item"), order.alias("place"))
+
+    def rows(source: DataFrame, p1: Column, *items: Column) -> DataFrame:
+        kept = F.filter(F.array(*items), lambda x: x["kind"].isNotNull())
+        return source.select(*KEY, p1.alias("p1"), F.inline(kept))
+
+    def named(condition: Column, name: str) -> Column:
+        return F.when(condition, name)
+
+    nothing = F.lit("")
+    # most and least common, over one row per distinct value
+    group = Window.partitionBy(*KEY, "fact")
+    ranked = facts.where("fact in ('roll_type', 'roll_value', 'spell')").withColumns(
+        {"most": F.max("n").over(group), "least": F.min("n").over(group)})
+    ties = rows(
+        ranked, nothing,
+        item(F.when(F.col("n") == F.col("most"), F.concat("fact", F.lit("_mode"))), "v1", F.col("v1")),
+        item(F.when(F.col("n") == F.col("least"), F.concat("fact", F.lit("_rarest"))), "v1", at("first_seq")))
+    fact = F.col("fact")
+    upcast = rows(facts.where("fact = 'upcast_spell'"), nothing, item(F.lit("upcast_spells"), "v1", at("first_seq")))
+    in_one = alone.join(by_episode.where("fact = 'spell_character'"), list(EPISODE))
+    per_character = rows(
+        in_one, nothing,
+        item(F.lit("spell_first_per_character"), "first_spell", F.col("v1")),
+        item(F.lit("spell_last_per_character"), "last_spell", F.col("v1")))
+    chosen = params.where("kind = 'spell_character'").select(*KEY, F.col("value"))
+    in_many = several.join(by_episode.where("fact in ('spells', 'spell_character')"), list(EPISODE))
+    wanted = in_many.join(chosen, (in_many.v1 == chosen.value) & (
+        in_many.context_window_id == chosen.context_window_id), "left").drop(chosen.context_window_id)
+    whole, by_name = fact == "spells", F.col("value").isNotNull() & (fact == "spell_character")
+    per_episode = rows(
+        wanted, F.col("v1"),
+        item(named(whole, "first_spell_per_episode"), "first_spell", at("ordinal")),
+        item(named(whole, "last_spell_per_episode"), "last_spell", at("ordinal")),
+        item(named(by_name, "first_spell_by_character"), "first_spell", at("ordinal")),
+        item(named(by_name, "last_spell_by_character"), "last_spell", at("ordinal")))
+    casters = alone.join(by_episode.where("fact = 'caster'"), list(EPISODE)).groupBy(*KEY, "v1").agg(
+        F.count("v2").alias("n"), F.min("first_seq").alias("first_seq"))
+    shared = rows(casters.where("n > 1"), nothing, item(F.lit("spells_multi_caster"), "v1", at("first_seq")))
+    ends = rows(alone.join(edges, list(EPISODE)), nothing, *[
+        item(F.when(F.col("pos") <= k, F.concat("edge", F.lit(f"_{k}"))), "spell", at("seq")) for k in (1, 2, 3)])
+    every = ties
+    for part in (upcast, per_character, per_episode, shared, ends):
+        every = every.unionByName(part)
+    return every.groupBy(*KEY, "kind", "p1").agg(listing("item", "place").alias("answer")).select(
+        *KEY, "kind", "p1", F.lit("").alias("p2"), "answer")
+
+
+def cumulative_counts(by_episode: DataFrame, params: DataFrame, several: DataFrame, probe: DataFrame) -> DataFrame:
+    """Running totals at the probed places; zero rows make every window dense."""
+    zero = F.lit(0).cast("bigint").alias("n")
+    kinds = F.array(F.lit("rolls_cumulative"), F.lit("spells_cumulative"))
+    dense = several.select(*KEY, "ordinal", F.explode(kinds).alias("kind"), F.lit("").alias("p1"), zero)
+    chosen = params.where("kind = 'roll_character'").select(*KEY, F.col("value").alias("p1"))
+    named = F.lit("rolls_cumulative_by_character").alias("kind")
+    dense_named = several.select(*KEY, "ordinal").join(chosen, list(KEY)).select(*KEY, "ordinal", named, "p1", zero)
+    at = several.join(by_episode.where("fact in ('rolls', 'spells', 'roll_character')"), list(EPISODE))
+    found = at.where("fact <> 'roll_character'").select(
+        *KEY, "ordinal", F.concat("fact", F.lit("_cumulative")).alias("kind"), F.lit("").alias("p1"), "n")
+    found_named = at.where("fact = 'roll_character'").select(
+        *KEY, "ordinal", named, F.col("v1").alias("p1"), "n").join(chosen, [*KEY, "p1"], "left_semi")
+    rows = dense.unionByName(dense_named).unionByName(found).unionByName(found_named)
+    order = Window.partitionBy(*KEY, "kind", "p1").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.groupBy(*KEY, "kind", "p1", "ordinal").agg(F.sum("n").alias("n")).withColumn(
+        "total", F.sum("n").over(order))
+    place = F.col("ordinal").cast("string")
+    return running.join(probe, [*KEY, "kind", "ordinal"]).select(
+        *KEY, "kind", F.when(F.col("p1") == "", place).otherwise(F.col("p1")).alias("p1"),
+        F.when(F.col("p1") == "", "").otherwise(place).alias("p2"), F.col("total").cast("string").alias("answer"))
+
+
+def nth_answers(edges: DataFrame, several: DataFrame, probe: DataFrame) -> DataFrame:
+    nth = s.nth_of(edges.where("edge = 'first'"), several, KEY)
+    tagged = nth.withColumn("kind", F.concat(F.lit("nth_"), F.col("nth")))
+    return tagged.join(probe, [*KEY, "kind", "ordinal"]).select(
+        *KEY, "kind", F.col("ordinal").cast("string").alias("p1"), F.lit("").alias("p2"),
+        F.col("spell").alias("answer"))
 
 
 def _texts(templates: dict[str, str]) -> Column:
@@ -227,19 +309,18 @@ def question_text(kind: Column, single: Column, p1: Column, p2: Column) -> Colum
 def finish(answers: DataFrame, windows: DataFrame) -> DataFrame:
     """Question texts, escaping, the answer filter, and ids."""
     spell_kinds = F.col("kind").rlike("spell|cantrip|upcast|^first_|^last_|^nth_")
+    single = F.size("episodes") == 1
     qtype = (
-        F.when(F.col("single") & spell_kinds, fixed.SINGLE_SPELLS)
-        .when(F.col("single"), fixed.SINGLE_ROLLS)
+        F.when(single & spell_kinds, fixed.SINGLE_SPELLS)
+        .when(single, fixed.SINGLE_ROLLS)
         .when(spell_kinds, fixed.MULTI_SPELLS)
         .otherwise(fixed.MULTI_ROLLS)
     )
-    worded = answers.select(
-        "context_window_id", "campaign",
-        clean_text(question_text(F.col("kind"), F.col("single"), F.col("p1"), F.col("p2"))).alias("question"),
+    text = question_text(F.col("kind"), single, F.col("p1"), F.col("p2"))
+    worded = answers.join(windows.select(*w.WINDOW, "episodes"), list(KEY)).select(
+        *w.WINDOW, "episodes", clean_text(text).alias("question"),
         clean_text(F.col("answer")).alias("answer"), qtype.alias("question_type"))
-    kept = worded.where(usable_answer(F.col("answer")))
-    named = kept.join(windows.select("context_window_id", "episodes"), "context_window_id")
-    return named.withColumn(
+    return worded.where(usable_answer(F.col("answer"))).withColumn(
         "id", question_id(F.col("campaign"), F.col("question"), F.col("episodes"))).select(*QA_COLUMNS)
 
 
@@ -263,29 +344,29 @@ def window_prompt(episode_count: Column, player_text: Column) -> Column:
 
 def context_texts(members: DataFrame, chunks: DataFrame, by: Sequence[str], prompts: DataFrame | None = None,
                   part_chars: int = PART_CHARS) -> DataFrame:
-    """Context text of each window: ``(by, part, text)``.
+    """Context text of each window: ``(by, part, parts, text)``.
 
     Each member episode is wrapped in its delimiters; members are joined by a blank line in window
     order after the prompt. A window whose text fits into ``part_chars`` is one row (``part`` 1); a
-    larger one comes as several rows whose texts, joined in order, are the whole. ``chunks`` has the
-    transcript texts ``(campaign, episode, chunk, text)``; ``prompts`` the player sentences.
+    larger one comes as ``parts`` rows whose texts, joined in order, are the whole. ``chunks`` has the
+    transcript texts ``(campaign, episode, chunk, chars, text)`` and is read twice, once without its
+    texts, so it should be a written table; ``prompts`` has the player sentences.
     """
-    sized = chunks.select(*EPISODE, "chunk", "text",
-                          F.length("text").cast("bigint").alias("chars"))
     last = Window.partitionBy(*EPISODE).orderBy("chunk")
-    edges = sized.withColumns({
+    edges = chunks.select(*EPISODE, "chunk", "chars").withColumns({
         "opens": F.lag("chunk").over(last).isNull(), "closes": F.lead("chunk").over(last).isNull()})
     # Window order and sizes are settled on rows without text; texts join at the end.
-    plan = members.join(edges.drop("text"), list(EPISODE))
+    plan = members.join(edges, list(EPISODE))
     order = Window.partitionBy(*by).orderBy("ordinal", "chunk")
     upto = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    plan = plan.withColumns({
-        "part": (F.floor((upto - 1) / F.lit(part_chars)) + 1).cast("bigint"),
+    whole = Window.partitionBy(*by)
+    plan = plan.withColumn("part", (F.floor((upto - 1) / F.lit(part_chars)) + 1).cast("bigint")).withColumns({
+        "parts": F.max("part").over(whole),
         "leads": F.row_number().over(order) == 1,
         "place": F.row_number().over(order),
-        "episode_count": F.size(F.collect_set("episode").over(Window.partitionBy(*by))),
+        "episode_count": F.max("ordinal").over(whole),
     }).drop("chars")
-    pieces = plan.join(sized.drop("chars"), [*EPISODE, "chunk"])
+    pieces = plan.join(chunks.select(*EPISODE, "chunk", "text"), [*EPISODE, "chunk"])
     if prompts is None:
         head = F.lit("")
     else:
@@ -297,16 +378,18 @@ def context_texts(members: DataFrame, chunks: DataFrame, by: Sequence[str], prom
         head, gap,
         F.when(F.col("opens"), fixed.EPISODE_START).otherwise(""), F.col("text"),
         F.when(F.col("closes"), fixed.EPISODE_END).otherwise(""))
-    return pieces.withColumn("piece", piece).groupBy(*by, "part").agg(
+    return pieces.withColumn("piece", piece).groupBy(*by, "part", "parts").agg(
         listing("piece", "place", "").alias("text"))
 
 
 def export_rows(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Question rows with their context text, as the question files hold them.
 
-    Joined last and once. The columns of windows in more than one part are repeated per part.
+    Text is joined last. ``part`` is set only for windows whose text needs several rows.
     """
-    carried = texts.select("context_window_id", "part", F.col("text").alias("context_window_text"))
+    carried = texts.select(
+        "context_window_id", F.when(F.col("parts") > 1, F.col("part")).alias("part"),
+        F.col("text").alias("context_window_text"))
     return rows.join(carried, "context_window_id").select(
         "id", "context_window_id", "context_window_text", "part", "question", "answer",
         "question_type", "episodes", "campaign")

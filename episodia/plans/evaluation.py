@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import word_count
-from ..operators.ordered import positions, running_total, seq_levels, text_levels
+from ..operators.ordered import positions, running_totals, seq_levels, text_levels
+from ..session import materialize
 
 
 def with_context_len(windows: DataFrame, text: str = "context_window_text",
@@ -107,9 +108,9 @@ def running_score(scored_batches: DataFrame) -> DataFrame:
     """
     per_batch = scored_batches.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").cast("decimal(28,12)").alias("batch_score"))
-    levels = seq_levels("batch_id")
-    counted = running_total(per_batch, F.col("n"), "rows_so_far", [], levels, [F.col("batch_id")])
-    scored = running_total(counted, F.col("batch_score"), "sum_so_far", [], levels, [F.col("batch_id")])
-    return scored.select(
+    totals = running_totals(
+        materialize(per_batch), {"rows_so_far": F.col("n"), "sum_so_far": F.col("batch_score")},
+        [], seq_levels("batch_id"), [F.col("batch_id")])
+    return totals.select(
         "batch_id", "n", "rows_so_far",
         (F.col("sum_so_far").cast("double") / F.col("rows_so_far").cast("double")).alias("score_so_far"))

@@ -1,8 +1,9 @@
-"""Session settings and the one place where lineage is cut."""
+"""Session settings, and the one place where intermediate tables are written."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # plans are built from many small expressions; recording a call site for each one is slow
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -41,12 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and go on from there.
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    Used for small tables that several branches read (window members, per-episode cells): the raw
-    log is then scanned once, and a lost executor costs a re-read, not a recomputation.
+    For small tables that several branches read (windows, per-window facts): the log behind them is
+    scanned once, a lost executor costs a re-read and no recomputation, and later joins know the
+    true size.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/episodia-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fixed
 from ..functions.text import capitalise
-from ..operators.ordered import running_total, seq_levels
+from ..operators.ordered import running_totals, seq_levels
 from ..operators.tallies import EPISODE, listing
 
 TURN = T.StructType([
@@ -68,10 +68,11 @@ def text_chunks(lines: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     sized = lines.select(*EPISODE, "seq", "line")
     length = (F.length("line") + 1).cast("bigint")
     levels = seq_levels("seq", fine=1 << (NAME_BITS + 12), coarse=1 << (NAME_BITS + 24))
-    placed = running_total(sized, length, "upto", EPISODE, levels, [F.col("seq")])
+    placed = running_totals(sized, {"upto": length}, EPISODE, levels, [F.col("seq")])
     chunk = F.floor((F.col("upto") - 1) / F.lit(part_chars)).cast("bigint")
     broken = placed.withColumn("chunk", chunk).withColumn("line", F.concat("line", F.lit("\n")))
-    return broken.groupBy(*EPISODE, "chunk").agg(listing("line", "seq", "").alias("text"))
+    return broken.groupBy(*EPISODE, "chunk").agg(
+        F.sum(F.length("line")).cast("bigint").alias("chars"), listing("line", "seq", "").alias("text"))
 
 
 def read_transcripts(spark: SparkSession, path: str, campaign: str) -> DataFrame:
@@ -79,8 +80,8 @@ def read_transcripts(spark: SparkSession, path: str, campaign: str) -> DataFrame
     files = spark.read.option("pathGlobFilter", "C*E*.txt").text(path, wholetext=True)
     number = F.regexp_extract(F.col("_metadata.file_name"), "E([0-9]+)", 1).try_cast("int")
     return files.select(F.lit(campaign).alias("campaign"), number.alias("episode"),
-                        F.lit(0).cast("bigint").alias("chunk"), F.col("value").alias("text")
-                        ).where(F.col("episode").isNotNull())
+                        F.lit(0).cast("bigint").alias("chunk"), F.length("value").cast("bigint").alias("chars"),
+                        F.col("value").alias("text")).where(F.col("episode").isNotNull())
 
 
 def write_transcripts(lines: DataFrame, path: str, part_chars: int = PART_CHARS) -> None:
@@ -94,4 +95,5 @@ def read_written_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Transcripts as ``write_transcripts`` left them."""
     rows = spark.read.option("basePath", path).text(path, wholetext=True)
     return rows.select("campaign", F.col("episode").cast("int").alias("episode"),
-                       F.col("chunk").cast("bigint").alias("chunk"), F.col("value").alias("text"))
+                       F.col("chunk").cast("bigint").alias("chunk"),
+                       F.length("value").cast("bigint").alias("chars"), F.col("value").alias("text"))
