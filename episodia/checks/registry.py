@@ -143,8 +143,9 @@ def _(spark, d):
 def _(spark, d):
     log, wins = rolls(spark, d), members(spark, d)
     cells = t.compact(t.as_cells(log), [*E, "character"])
-    picked = w.sample_values(w.spread(cells, wins), W, "character", "roll_character",
-                             valid_character(F.col("character")))
+    seen = w.candidates(w.spread(cells, wins), W,
+                        roll_character=w.when_valid("character", valid_character))
+    picked = w.sample_values(seen, W)
     return r.rolls_cumulative_by_character(
         cells, wins, picked.select(*W, F.col("value").alias("character")), W)
 

@@ -102,20 +102,16 @@ def values_in_order(cells: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     return count_by(cells, by, key).groupBy(*by).agg(listing(key, "first_seq").alias("answer"))
 
 
-def edge_value(cells: DataFrame, by: Sequence[str], value: str, last: bool = False) -> DataFrame:
-    """First (or last) non-null ``value`` of each group."""
-    pick = F.max_by(value, "last_seq") if last else F.min_by(value, "first_seq")
-    return cells.where(F.col(value).isNotNull()).groupBy(*by).agg(pick.alias(value))
-
-
 def edge_value_list(cells: DataFrame, by: Sequence[str], per: str, value: str,
                     last: bool = False, appearance: bool = False) -> DataFrame:
     """First (or last) non-null ``value`` of every ``per`` member, listed by ``per``.
 
-    ``appearance=True`` lists them in file order instead.
+    ``appearance=True`` lists them in file order instead. Rows are folded per distinct value first:
+    that pass only keeps numbers and stays a hash aggregation.
     """
-    place = F.max("last_seq") if last else F.min("first_seq")
-    pick = F.max_by(value, "last_seq") if last else F.min_by(value, "first_seq")
     kept = cells.where(F.col(value).isNotNull() & F.col(per).isNotNull())
-    edges = kept.groupBy(*by, per).agg(pick.alias(value), place.alias("place"))
+    folded = kept.groupBy(*by, per, value).agg(
+        F.max("last_seq").alias("place") if last else F.min("first_seq").alias("place"))
+    pick, place = (F.max_by, F.max) if last else (F.min_by, F.min)
+    edges = folded.groupBy(*by, per).agg(pick(value, "place").alias(value), place("place").alias("place"))
     return edges.groupBy(*by).agg(listing(value, "place" if appearance else per).alias("answer"))

@@ -105,38 +105,37 @@ def spread(cells: DataFrame, members: DataFrame) -> DataFrame:
 
 # --- sampled parameters ----------------------------------------------------------------------------
 
-def sample_values(cells: DataFrame, by: Sequence[str], key: str, kind: str, valid: Column,
-                  k: int = fixed.PARAMS_PER_KIND) -> DataFrame:
-    """Up to ``k`` valid values of ``key`` per group, as ``(by, kind, value)``."""
-    values = cells.where(valid).select(*by, F.lit(kind).alias("kind"), F.col(key).alias("value")).distinct()
-    order = [draw(*by, "kind", "value"), F.col("value")]
-    return keep_smallest(values, [*by, "kind"], order, k).drop("_rank")
+def candidates(cells: DataFrame, by: Sequence[str], **kinds: Column) -> DataFrame:
+    """Distinct ``(by, kind, value)`` rows of several columns in one pass; null values are left out."""
+    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+                      for kind, value in kinds.items()])
+    return cells.select(*by, F.inline(pairs)).where("value is not null").distinct()
+
 
+def dice(groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The natural values 1–20 of every group, whether rolled or not."""
+    return groups.select(*by, F.lit("roll_value").alias("kind"),
+                         F.explode(F.array(*[F.lit(v) for v in fixed.ROLL_VALUES])).alias("value"))
 
-def sample_roll_values(groups: DataFrame, by: Sequence[str],
-                       k: int = fixed.PARAMS_PER_KIND) -> DataFrame:
-    """Up to ``k`` of the natural values 1–20 per group, whether rolled or not."""
-    values = groups.select(
-        *by, F.lit("roll_value").alias("kind"),
-        F.explode(F.array(*[F.lit(v) for v in fixed.ROLL_VALUES])).alias("value"))
+
+def sample_values(values: DataFrame, by: Sequence[str], k: int = fixed.PARAMS_PER_KIND) -> DataFrame:
+    """Up to ``k`` of the given ``(by, kind, value)`` rows per group and kind."""
     order = [draw(*by, "kind", "value"), F.col("value")]
     return keep_smallest(values, [*by, "kind"], order, k).drop("_rank")
 
 
+def when_valid(column: str, valid) -> Column:
+    return F.when(valid(F.col(column)), F.col(column))
+
+
 def sample_params(roll_cells: DataFrame, spell_cells: DataFrame, groups: DataFrame,
                   by: Sequence[str]) -> DataFrame:
     """All sampled question parameters of each group, ``(by, kind, value)``."""
-    parts = [
-        sample_values(roll_cells, by, "character", "roll_character", valid_character(F.col("character"))),
-        sample_values(roll_cells, by, "roll_type", "roll_type", valid_roll_type(F.col("roll_type"))),
-        sample_roll_values(groups, by),
-        sample_values(spell_cells, by, "character", "spell_character", valid_character(F.col("character"))),
-        sample_values(spell_cells, by, "spell", "spell", valid_spell(F.col("spell"))),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    of_rolls = candidates(roll_cells, by, roll_character=when_valid("character", valid_character),
+                          roll_type=when_valid("roll_type", valid_roll_type))
+    of_spells = candidates(spell_cells, by, spell_character=when_valid("character", valid_character),
+                           spell=when_valid("spell", valid_spell))
+    return sample_values(of_rolls.unionByName(of_spells).unionByName(dice(groups, by)), by)
 
 
 PROBE_KINDS = ("rolls_cumulative", "rolls_cumulative_by_character", "spells_cumulative",

@@ -153,11 +153,7 @@ def sampled_params(facts: DataFrame, windows: DataFrame) -> DataFrame:
              | ((F.col("fact") == "roll_type") & valid_roll_type(value))
              | ((F.col("fact") == "spell") & valid_spell(value)))
     seen = facts.where(valid).select(*KEY, F.col("fact").alias("kind"), value.alias("value"))
-    dice = windows.select(*KEY, F.lit("roll_value").alias("kind"), F.explode(
-        F.array(*[F.lit(v) for v in fixed.ROLL_VALUES])).alias("value"))
-    order = [w.draw(*KEY, "kind", "value"), F.col("value")]
-    return w.keep_smallest(seen.unionByName(dice), [*KEY, "kind"], order,
-                           fixed.PARAMS_PER_KIND).drop("_rank")
+    return w.sample_values(seen.unionByName(w.dice(windows, KEY)), KEY)
 
 
 def caster_counts(by_episode: DataFrame, members: DataFrame, params: DataFrame) -> DataFrame:

@@ -109,13 +109,14 @@ def damage_dealt(log: DataFrame, by: Sequence[str]) -> DataFrame:
     Sums are decimal, so they do not depend on partitioning.
     """
     per_character = log.groupBy(*by, "character").agg(
-        F.sum(decimal_or_null(F.col("damage_dealt"))).alias("damage"))
-    whole = per_character.groupBy(*by).agg(F.sum("damage").alias("damage")).select(
-        *by, F.lit("total").alias("scope"), F.lit(None).cast("string").alias("character"), "damage")
-    named = per_character.where(F.col("character").isNotNull()).select(
-        *by, F.lit("character").alias("scope"), "character", "damage")
-    return whole.unionByName(named).withColumn(
-        "damage", F.coalesce(F.col("damage").cast("double"), F.lit(0.0)))
+        F.sum(decimal_or_null(F.col("damage_dealt"))).alias("part"))
+    # each small sum goes to its character and to the whole, so the log is scanned once
+    scopes = F.array(
+        F.struct(F.lit("total").alias("scope"), F.lit(None).cast("string").alias("name")),
+        F.struct(F.lit("character").alias("scope"), F.col("character").alias("name")))
+    long = per_character.select(*by, "part", F.inline(scopes)).where("scope = 'total' or name is not null")
+    return long.groupBy(*by, "scope", F.col("name").alias("character")).agg(
+        F.coalesce(F.sum("part").cast("double"), F.lit(0.0)).alias("damage"))
 
 
 # --- several episodes -------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from ..functions import fixed_values as fixed
 from ..functions.text import capitalise
 from ..operators.ordered import running_totals, seq_levels
 from ..operators.tallies import EPISODE, listing
+from .logs import file_order
 
 TURN = T.StructType([
     T.StructField("NAMES", T.ArrayType(T.StringType())),
@@ -84,6 +85,14 @@ def read_transcripts(spark: SparkSession, path: str, campaign: str) -> DataFrame
                         F.col("value").alias("text")).where(F.col("episode").isNotNull())
 
 
+def read_transcript_lines(spark: SparkSession, path: str, campaign: str) -> DataFrame:
+    """Transcript files line by line, in file order. Files of any size are split over tasks."""
+    rows = spark.read.option("pathGlobFilter", "C*E*.txt").text(path)
+    number = F.regexp_extract(F.col("_metadata.file_name"), "E([0-9]+)", 1).try_cast("int")
+    return rows.select(F.lit(campaign).alias("campaign"), number.alias("episode"), file_order().alias("seq"),
+                       F.col("value").alias("line")).where(F.col("episode").isNotNull())
+
+
 def write_transcripts(lines: DataFrame, path: str, part_chars: int = PART_CHARS) -> None:
     """Text files under ``campaign=…/episode=…/chunk=…``, one per chunk, lines in order."""
     chunks = text_chunks(lines, part_chars)

@@ -88,6 +88,8 @@ def test_dialogue_to_transcripts_and_back(spark, tmp_path):
 def test_whole_text_transcripts(spark, tmp_path):
     (tmp_path / "C1E020.txt").write_text("Matt: one\nSam: two\n")
     (tmp_path / "notes.txt").write_text("no transcript")
+    lines = dialogue.read_transcript_lines(spark, str(tmp_path), "campaign1").orderBy("seq").collect()
+    assert [(r.episode, r.line) for r in lines] == [(20, "Matt: one"), (20, "Sam: two")]
     rows = dialogue.read_transcripts(spark, str(tmp_path), "campaign1").collect()
     assert [(r.episode, r.text, r.chars) for r in rows] == [(20, "Matt: one\nSam: two\n", 19)]
 
