@@ -360,7 +360,7 @@ def context_texts(members: DataFrame, chunks: DataFrame, by: Sequence[str], prom
         "parts": F.max("part").over(whole),
         "leads": F.row_number().over(order) == 1,
         "place": F.row_number().over(order),
-        "episode_count": F.max("ordinal").over(whole),
+        "episode_count": F.sum(F.col("opens").cast("int")).over(whole),
     }).drop("chars")
     pieces = plan.join(chunks.select(*EPISODE, "chunk", "text"), [*EPISODE, "chunk"])
     if prompts is None:
