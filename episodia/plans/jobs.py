@@ -81,10 +81,22 @@ def plan_run(questions: DataFrame, windows: DataFrame, finished: DataFrame | Non
     return ev.batches(todo, batch_size).withColumn("cache", F.lit(True))
 
 
-def request_table(plan: DataFrame, windows: DataFrame, labels: bool = False) -> DataFrame:
-    """Planned questions with their request messages; the one step that repeats texts per question."""
-    texts = ev.text_variant(windows, labels).select("context_window_id", "context")
-    return ev.request_messages(plan.join(texts, "context_window_id"), F.col("cache")).drop("context")
+def request_table(plan: DataFrame, windows: DataFrame, labels: bool = False,
+                  rows_per_copy: int = 64) -> DataFrame:
+    """Planned questions with their request messages; the one step that repeats texts per question.
+
+    A window with many questions is dealt out in shares of about ``rows_per_copy``, each with its own
+    copy of the text, so that the rows of one huge window are built by many tasks.
+    """
+    shares = plan.groupBy("context_window_id").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_copy)).cast("bigint").alias("shares"))
+    texts = ev.text_variant(windows, labels).select("context_window_id", "context").join(
+        shares, "context_window_id")
+    copies = texts.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
+    dealt = plan.join(shares, "context_window_id").withColumn(
+        "share", F.pmod(F.xxhash64("id"), F.col("shares"))).drop("shares")
+    joined = dealt.join(copies.drop("shares"), ["context_window_id", "share"]).drop("share")
+    return ev.request_messages(joined, F.col("cache")).drop("context")
 
 
 def score_run(dataset: DataFrame, outputs: DataFrame, results_dir: str, model: str,

@@ -73,6 +73,13 @@ def append_scored(rows: DataFrame, path: str) -> None:
     as_scored(rows).write.mode("append").json(path)
 
 
+def write_batches(rows: DataFrame, path: str) -> None:
+    """Append scored rows with their ``batch_id``, one folder per batch. For batches of many rows:
+    every batch costs a folder, so row-sized batches belong into ``append_scored``."""
+    kept = rows.select(*[c for c in rows.columns if c == "batch_id" or c in SCORED_ROW.names])
+    kept.write.mode("append").partitionBy("batch_id").json(path)
+
+
 def with_split(rows: DataFrame) -> DataFrame:
     """Split of each row by its campaign."""
     split = F.lit(None).cast("string")

@@ -94,6 +94,23 @@ def test_plan_and_resume(spark, tmp_path):
     assert [(r.id, r.batch_id) for r in todo.collect()] == [("d", 0)]
 
 
+def test_one_window_is_dealt_to_many_shares(spark):
+    plan = spark.createDataFrame([(f"i{k}", "big" if k % 4 else "small", f"q{k}", True) for k in range(200)],
+                                 "id string, context_window_id string, question string, cache boolean")
+    windows = spark.createDataFrame([("big", "B"), ("small", "S"), ("unused", "U")],
+                                    "context_window_id string, context_window_text string")
+    got = jobs.request_table(plan, windows, rows_per_copy=10).collect()
+    assert sorted(r.id for r in got) == sorted(f"i{k}" for k in range(200))
+    assert all(r.messages[0].content[1].text == r.context_window_id[0].upper() for r in got)
+
+
+def test_batches_are_written_by_folder(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 0.5), ("c", 1, 0.0)], "id string, batch_id bigint, score double")
+    results.write_batches(rows, str(tmp_path / "b"))
+    back = spark.read.json(str(tmp_path / "b"))
+    assert sorted((r.batch_id, r.id, r.score) for r in back.collect()) == [(0, "a", 1.0), (0, "b", 0.5), (1, "c", 0.0)]
+
+
 def test_dataset_with_texts_is_split(spark):
     rows = spark.createDataFrame([("a", "w", "text"), ("b", "w", "text")],
                                  "id string, context_window_id string, context_window_text string")
