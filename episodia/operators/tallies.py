@@ -74,8 +74,8 @@ def most_common(cells: DataFrame, by: Sequence[str], key: str) -> DataFrame:
 def least_common(cells: DataFrame, by: Sequence[str], key: str, min_count: int = 1) -> DataFrame:
     """All least frequent values, in order of first appearance.
 
-    ``min_count=2`` keeps only values that occur more than once, which the wording of the questions
-    asks for but the reference answers do not apply.
+    ``min_count=2`` keeps only values that occur more than once: the wording of the questions asks for
+    it, but expected answers are made without it.
     """
     counts = count_by(cells, by, key)
     if min_count > 1:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -293,7 +294,7 @@ def nth_answers(edges: DataFrame, several: DataFrame, probe: DataFrame) -> DataF
 
 
 def _texts(templates: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in templates.items() for x in pair])
+    return F.from_json(F.lit(json.dumps(templates)), "map<string,string>")
 
 
 def question_text(kind: Column, single: Column, p1: Column, p2: Column) -> Column:

@@ -44,6 +44,14 @@ def text_variant(rows: DataFrame, labels: bool = False) -> DataFrame:
         "context", F.col("context_window_text_with_labels" if labels else "context_window_text"))
 
 
+def window_order(rows: DataFrame) -> DataFrame:
+    """Rows sorted by window and id, so that requests over one context follow each other.
+
+    The sort ranges over both columns, so that a huge window is still spread over tasks.
+    """
+    return rows.orderBy("context_window_id", "id")
+
+
 def batches(rows: DataFrame, size: int = 1, width: int = 4) -> DataFrame:
     """Add ``row_no`` (1-based, ordered by window and id) and ``batch_id`` (0-based).
 

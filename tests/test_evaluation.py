@@ -116,3 +116,9 @@ def test_dataset_with_texts_is_split(spark):
                                  "id string, context_window_id string, context_window_text string")
     questions, windows = jobs.split_texts(rows)
     assert questions.columns == ["id", "context_window_id"] and windows.count() == 1
+
+
+def test_window_order(points):
+    rows, df = points
+    got = [(r.id, r.context_window_id) for r in ev.window_order(df).collect()]
+    assert got == sorted(rows, key=lambda r: (r[1], r[0]))
