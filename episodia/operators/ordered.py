@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .tallies import listing
 
 
@@ -83,14 +84,22 @@ def seq_levels(order: str, fine: int = 1 << 12, coarse: int = 1 << 24) -> list[t
             ("_b2", F.floor(col / F.lit(fine)).cast("bigint"))]
 
 
-def text_levels(first: str, second: str, width: int = 4) -> list[tuple[str, Column]]:
-    """Buckets for the order ``(first, second)`` of two text columns, by their leading characters.
+def sorted_positions(rows: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """1-based place of each row in the order of unique ``order`` columns, over the whole table.
 
-    Leading characters keep text order, and for digest ids they spread evenly, also inside one
-    ``first`` value that holds a large share of the rows.
+    The rows are written sorted, which spreads even one huge leading value over many files. A place
+    is then the row's index in its file plus the rows of all files before it; nothing is gathered.
     """
-    return [("_b1", F.substring(first, 1, width)), ("_b2", F.col(first)),
-            ("_b3", F.substring(second, 1, width))]
+    table = materialize(rows.orderBy(*order))
+    placed = table.select(
+        "*", F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("bigint").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"))
+    sizes = placed.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    # one row per file of the sort, so never more than its shuffle partitions: safe to broadcast
+    offsets = F.broadcast(sizes.select("_file", before.alias("_before")))
+    return placed.join(offsets, "_file").select(
+        *rows.columns, (F.col("_before") + F.col("_row") + 1).cast("bigint").alias(out))
 
 
 def positions(rows: DataFrame, out: str, within: Sequence[str],

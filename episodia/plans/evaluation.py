@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import word_count
-from ..operators.ordered import positions, running_totals, seq_levels, text_levels
+from ..operators.ordered import running_totals, seq_levels, sorted_positions
 from ..session import materialize
 
 
@@ -52,14 +52,9 @@ def window_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("context_window_id", "id")
 
 
-def batches(rows: DataFrame, size: int = 1, width: int = 4) -> DataFrame:
-    """Add ``row_no`` (1-based, ordered by window and id) and ``batch_id`` (0-based).
-
-    Numbering is global and exact, yet runs in nested buckets of leading characters; ``width`` is
-    how many of them make a bucket.
-    """
-    numbered = positions(rows, "row_no", [], text_levels("context_window_id", "id", width),
-                         [F.col("id")])
+def batches(rows: DataFrame, size: int = 1) -> DataFrame:
+    """Add ``row_no`` (1-based, ordered by window and id) and ``batch_id`` (0-based). Ids must be unique."""
+    numbered = sorted_positions(rows, ["context_window_id", "id"], "row_no")
     return numbered.withColumn("batch_id", F.floor((F.col("row_no") - 1) / F.lit(size)).cast("bigint"))
 
 

@@ -24,7 +24,7 @@ def points(spark):
 
 def test_batches_follow_the_global_order(points):
     rows, df = points
-    got = {r.id: r for r in ev.batches(df, 16, width=2).collect()}
+    got = {r.id: r for r in ev.batches(df, 16).collect()}
     ordered = sorted(rows, key=lambda r: (r[1], r[0]))
     assert [got[i].row_no for i, _ in ordered] == list(range(1, 901))
     assert [got[i].batch_id for i, _ in ordered] == [k // 16 for k in range(900)]
