@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_folder
 
-__all__ = ["SPACE", "WORD", "let", "literal_table", "materialize", "read_table", "remainder", "shared_folder", "text_bytes"]
+__all__ = ["SPACE", "WORD", "let", "literal_table", "materialize", "read_table", "remainder",
+           "shared_folder", "ship", "text_bytes"]
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,3 +42,17 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 def text_bytes(text: str | None) -> bytes:
     """UTF-8 bytes; null is empty and a lone surrogate does not fail."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_episodia_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="episodia-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._episodia_shipped = True

@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
+from .licenses import CONTAINMENT, LETTERS, PHRASES, TEMPLATES
+
 ORACLES: dict[str, str] = {}
 
+_PHRASES = " UNION ALL ".join(
+    f"SELECT doc_id, pos, '{label}' AS label FROM words WHERE "
+    + " AND ".join(f"w{i} = '{w}'" for i, w in enumerate(phrase.split())) for phrase, label in PHRASES.items())
+_TEMPLATES = ", ".join("('{}', '{}')".format(*pair) for pair in TEMPLATES.items())
+ORACLES["op5_license_scan"] = f"""
+WITH texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}') t FROM documents),
+split AS (SELECT doc_id, regexp_extract_all(t, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') ws FROM texts),
+placed AS (SELECT doc_id, unnest(ws) w0, generate_subscripts(ws, 1) - 1 pos FROM split),
+words AS (
+  SELECT *, lead(w0, 1) OVER o w1, lead(w0, 2) OVER o w2, lead(w0, 3) OVER o w3
+  FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+hits AS ({_PHRASES}),
+base AS (
+  SELECT doc_id, count(*) n_base, min(pos) first_word, max(pos) last_word, list_distinct(list(label)) labels
+  FROM hits GROUP BY doc_id),
+templates AS (
+  SELECT label, list_distinct(regexp_extract_all(lower(t), '[0-9a-z]+')) tokens
+  FROM (VALUES {_TEMPLATES}) AS x(label, t)),
+blocks AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(line, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) tokens
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) line FROM texts)),
+held AS (
+  SELECT doc_id, label, len(list_intersect(b.tokens, t.tokens)) / len(t.tokens) score
+  FROM blocks b, templates t WHERE len(list_intersect(b.tokens, t.tokens)) >= {CONTAINMENT} * len(t.tokens) - 1e-9),
+more AS (SELECT doc_id, list_distinct(list(label)) labels, max(score) score FROM held GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, more.labels))), ','), '') AS labels,
+       CAST(coalesce(more.score, 0) AS DOUBLE) AS score
+FROM split s LEFT JOIN base ON base.doc_id = s.doc_id LEFT JOIN more ON more.doc_id = s.doc_id
+"""
+
 ORACLES["op10_exact_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) w
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id query_id, c.vec_id vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) score
   FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, ship
+from .langid import language_id
+from .licenses import license_scan
+from .packing import pack
 from .quality import quality_rules
+from .secrets import secret_scan
 from .topk import exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,16 +20,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(name: str):
     def register(fn):
-        QUERIES[name] = fn
-        return fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
+        return run
     return register
 
 
+@query("op1_language_id")
+def op1(spark, d):
+    return language_id(read_table(spark, d, "documents"))
+
+
+@query("op2_secret_scan")
+def op2(spark, d):
+    return secret_scan(read_table(spark, d, "documents"))
+
+
+@query("op5_license_scan")
+def op5(spark, d):
+    return license_scan(read_table(spark, d, "documents"))
+
+
 @query("op7_quality_rules")
 def op7(spark, d):
     return quality_rules(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
 
 
+@query("op8_best_fit_packing")
+def op8(spark, d):
+    return pack(read_table(spark, d, "documents"))
+
+
 @query("op10_exact_topk")
 def op10(spark, d):
     return exact_topk(read_table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
