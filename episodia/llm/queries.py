@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, ship
 from .langid import language_id
+from .language_model import language_model_scores
 from .licenses import license_scan
 from .packing import pack
 from .quality import quality_rules
@@ -54,6 +55,11 @@ def op8(spark, d):
     return pack(read_table(spark, d, "documents"))
 
 
+@query("op9_language_model")
+def op9(spark, d):
+    return language_model_scores(read_table(spark, d, "documents"))
+
+
 @query("op10_exact_topk")
 def op10(spark, d):
     return exact_topk(read_table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
