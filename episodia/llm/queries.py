@@ -11,6 +11,7 @@ from .common import read_table, ship
 from .langid import language_id
 from .language_model import language_model_scores
 from .licenses import license_scan
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
 from .secrets import secret_scan
@@ -45,6 +46,11 @@ def op5(spark, d):
     return license_scan(read_table(spark, d, "documents"))
 
 
+@query("op6_near_duplicates")
+def op6(spark, d):
+    return near_duplicates(read_table(spark, d, "documents"), width=4)
+
+
 @query("op7_quality_rules")
 def op7(spark, d):
     return quality_rules(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
