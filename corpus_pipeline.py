@@ -1,8 +1,82 @@
-"""Corpus preparation in stages."""
+"""Corpus preparation: language, near duplicates, secrets, source weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows the one before kept. All but the last return the
+columns of ``docs``; rows with nulls, repeated rows and further columns pass through them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from episodia.llm import langid, mixing, near_dedup, packing, secrets
+from episodia.llm.common import materialize, read_table, ship
+
+#: no SQL has the models, hashes and tokenizer of these stages; tests hold each against a plain version
 ORACLE_SQL = None
+MIN_LANGUAGE_SCORE = 0.5
+SHINGLE_WORDS, SIMILARITY = 5, 80
+TOKEN_SHARE = 0.8  # of the tokens that reach the mixing stage
+
+
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear, with the one found as lang; no text, no letter or a low score rejects."""
+    ship(spark)
+    model = langid.fit(docs, langid.learnable_rows())
+    found = langid.identify(docs, model, "_lang_pred", "_score")
+    clear = (F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= MIN_LANGUAGE_SCORE)
+    return found.where(clear).select(
+        *[F.col("_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id, once if its row repeats."""
+    ship(spark)
+    found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
+    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
+    return (kept.withColumn("_again", again).where((F.col("_again") == 1) | F.col("doc_id").isNull())
+            .select(*columns(docs)))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its credentials replaced by a mark and n_chars by the new length."""
+    ship(spark)
+    clean = secrets.redact(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    return clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows by the target weights; a document appears once per epoch that takes it."""
+    ship(spark)
+    return mixing.mix(docs, TOKEN_SHARE).select(*columns(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of up to 4096 tokens."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("source_mixture", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over ``documents``; every result is written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs

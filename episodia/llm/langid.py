@@ -240,29 +240,36 @@ def fit(docs: DataFrame, learnable: Column, vocabulary_path: str | None = None,
 _SCORERS: dict[bytes, WordScorer] = {}
 
 
-def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score, from each whole text alone.
+def identify(docs: DataFrame, model: Model, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with two more columns, from each whole text alone.
 
     ``score`` is the share of the language among all languages' probabilities of the text. A text that is null
     or has no letter is ``und`` with score 0, as is every text if no language was learned.
     """
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", StringType()).add("score", DoubleType())
     key = model.table[:: max(1, len(model.table) // 997)].tobytes()
 
-    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = model.scorer()
         for batch in batches:
-            found = list(_SCORERS[key].predict(batch["_text"].tolist()))
-            yield batch[list(keep)].assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
+            yield pd.DataFrame(list(_SCORERS[key].predict(batch.tolist())), columns=["lang", "share"])
+
+    # not deterministic for the optimizer only, so that a filter does not run it again
+    found = F.pandas_udf(predicted, "lang string, share double").asNondeterministic()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return (docs.select(*own, found("text").alias("_identified"))
+            .select(*own, F.col("_identified.lang").alias(lang_pred), F.col("_identified.share").alias(score)))
+
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(predicted, schema)
+def learnable_rows(modulus: int = 4, fold: int = 2) -> Column:
+    """Rows outside the held-out fold."""
+    return remainder(modulus) != fold
 
 
 def language_id(docs: DataFrame, modulus: int = 4, fold: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from documents outside the held-out fold only."""
-    table = docs.select("doc_id", "text", "lang").withColumn("held_out", remainder(modulus) == fold)
-    return identify(table, fit(table, ~F.col("held_out")), "doc_id", "held_out")
+    table = docs.select("doc_id", "text", "lang")
+    model = fit(table, learnable_rows(modulus, fold))
+    return identify(table, model).select("doc_id", (~learnable_rows(modulus, fold)).alias("held_out"),
+                                         "lang_pred", "score")

@@ -11,6 +11,7 @@ from .common import read_table, ship
 from .langid import language_id
 from .language_model import language_model_scores
 from .licenses import license_scan
+from .mixing import mixture
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
@@ -41,6 +42,11 @@ def op2(spark, d):
     return secret_scan(read_table(spark, d, "documents"))
 
 
+@query("op4_source_mixture")
+def op4(spark, d):
+    return mixture(read_table(spark, d, "documents"))
+
+
 @query("op5_license_scan")
 def op5(spark, d):
     return license_scan(read_table(spark, d, "documents"))
