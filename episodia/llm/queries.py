@@ -16,6 +16,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
 from .secrets import secret_scan
+from .suffix_dedup import remove_repeats
 from .topk import exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,11 @@ def op2(spark, d):
     return secret_scan(read_table(spark, d, "documents"))
 
 
+@query("op3_suffix_dedup")
+def op3(spark, d):
+    return remove_repeats(read_table(spark, d, "documents"))
+
+
 @query("op4_source_mixture")
 def op4(spark, d):
     return mixture(read_table(spark, d, "documents"))
