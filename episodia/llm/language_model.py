@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from .common import materialize, remainder, text_bytes
 
 END = b"\n"  # the end of a text; no word holds white space
-FREQUENT = 250_000  # words with an id of their own; bounds what tasks are sent, the rest goes through a join
+FREQUENT = 200_000  # most words with an id of their own; bounds what tasks are sent, the rest goes through a join
 CLASSES = 24
 ROWS = 1 << 15  # hashed features
 FEATURES = 4  # previous word, previous two, and the second and third before
 BATCH = 4096  # tokens per gradient step
 RATE = 0.35
-FLUSH = 600_000  # distinct words after which a task hands its counts on
+FLUSH = 250_000  # distinct words after which a task hands its counts on
 
 _DICTIONARIES: dict[int, dict[bytes, int]] = {}
 
@@ -56,11 +56,12 @@ class Lexicon:
     a word has the share (n + 1) / mass, and one more unseen word belongs to the last class.
     """
 
-    def __init__(self, rows: list, total: int, distinct: int, classes: int):
-        self.words = [bytes(r["word"]) for r in rows]
-        self.counts = np.array([r["n"] for r in rows], dtype=np.int64)
+    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, classes: int):
+        self.words = END.join(words)  # no word holds the separator; the end itself is told by its place
+        self.end_id = words.index(END) if END in words else -1
+        self.counts = counts
         self.total, self.distinct = total, distinct
-        size, rare = len(rows), classes - 1
+        size, rare = len(words), classes - 1
         self.rare_id = size
         before = np.cumsum(self.counts) - self.counts
         own = before * rare // max(1, int(self.counts.sum()))
@@ -70,15 +71,39 @@ class Lexicon:
         self.log_mass = np.log10(np.maximum(mass, 1))
         self.log_count = np.append(np.log10(self.counts + 1), 0.0)  # of a word beyond: from the join
         self.prior = np.log(np.maximum(mass, 1) / np.maximum(mass, 1).sum())
-        self.key = hash((size, total, distinct, self.words[:1000:7] and b"".join(self.words[:1000:7])))
+        self.key = hash((size, total, distinct, self.words[:100_000]))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         if self.key not in _DICTIONARIES:
+            own = self.words.split(END) if self.rare_id else []
+            if self.end_id >= 0:  # the separator as a word has left two empty strings
+                del own[self.end_id]
+                own[self.end_id] = END
             _DICTIONARIES.clear()
-            _DICTIONARIES[self.key] = {w: i for i, w in enumerate(self.words)}
+            _DICTIONARIES[self.key] = {w: i for i, w in enumerate(own)}
         return np.fromiter(map(_DICTIONARIES[self.key].get, words, repeat(self.rare_id)), np.int64, len(words))
 
 
+def frequent_words(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """Words and counts from the most frequent on, at most ``most``.
+
+    The cut comes from a histogram of the logarithms of the counts, so no task sends more than it holds of the
+    chosen words.
+    """
+    step = F.floor(F.log2("n") * 64).cast("int")
+    total, cut = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(),
+                    key=lambda r: -r["step"]):
+        total += r["words"]
+        if total > most:
+            break
+        cut = r["step"]
+    if cut is None:
+        return [], np.empty(0, dtype=np.int64)
+    chosen = counts.where(step >= cut).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return chosen["word"].to_pylist(), chosen["n"].to_numpy()
+
+
 def feature_rows(ids: list[np.ndarray], start_id: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashed features [token, feature], token ids) of texts, each one after three start marks."""
     pad = np.full(3, start_id, dtype=np.int64)
@@ -167,8 +192,7 @@ def score_texts(docs: DataFrame, training: Column, frequent: int = FREQUENT, cla
     learned = docs.where(training)
     counts = materialize(word_counts(learned))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("word").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    lexicon = Lexicon(top, whole["n"], whole["v"], classes)
+    lexicon = Lexicon(*frequent_words(counts, frequent), whole["n"], whole["v"], classes)
     weights = train(learned, lexicon, classes, rows)
     bias = lexicon.prior.astype(np.float32)
 
