@@ -1,0 +1,460 @@
+"""The dealt operators against plain versions of what they compute."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from episodia.llm import (graph, langid, language_model as lm, licenses, mixing, near_dedup, oracles, packing, quality,
+                          queries, secrets, suffix_dedup as sd, topk)
+from episodia.llm.common import ship
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tiny):
+    return spark.read.parquet(f"{tiny}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def crc(doc_id):
+    return zlib.crc32(str(doc_id).encode())
+
+
+# --- SQL --------------------------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_query_equals_sql(spark, tiny, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tiny}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, tiny)
+    found = con.execute(oracles.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(df.columns)
+
+    def plain(rows):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in row) for row in rows), key=str)
+
+    assert plain(map(tuple, df.select(*columns).collect())) == plain(found.fetchall())
+
+
+# --- language identification --------------------------------------------------------------------------------------------
+
+def test_forward_sums_all_segmentations():
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "bab"]
+    finder = langid.Pieces(pieces)
+    p = np.random.default_rng(0).random((len(pieces) + 2, 2)) / 9
+    p[-2], p[-1] = langid.UNKNOWN, 0
+
+    def brute(word, k):
+        if not word:
+            return 1.0
+        total = sum(p[pieces.index(word[:n]), k] * brute(word[n:], k)
+                    for n in range(1, len(word) + 1) if word[:n] in pieces)
+        return total + (p[-2, k] * brute(word[1:], k) if word[0] not in pieces else 0)
+
+    words = ["▁abab", "▁babb", "▁xaba"]
+    lattice, length = finder.lattice(words)
+    ahead, behind = langid.forward(lattice, length, p), langid.backward(lattice, length, p)
+    for i, word in enumerate(words):
+        for k in range(2):
+            assert math.isclose(ahead[length, i, k], brute(word, k))
+            assert math.isclose(behind[0, i, k], brute(word, k))
+
+
+def test_language_of_held_out_documents(spark, tiny, docs):
+    rows = queries.QUERIES["op1_language_id"](spark, tiny).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["held_out"] == (crc(r["doc_id"]) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_long_runs_and_texts_without_letters(spark, docs):
+    model = langid.fit(docs, langid.learnable_rows())
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !?"), (4, "the and of " * 9 + "x" * 5000)],
+                                "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
+    assert [rows[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and rows[4]["lang_pred"] != "und"
+    assert rows[1]["score"] == 0
+
+
+# --- secrets --------------------------------------------------------------------------------------------------------------
+
+def plain_spans(text):
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
+        r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "PassWD", "secret", "api_key", "apiKEY", ":", "=", " ", '"', "'", "abc", "deadbeef" * 4,
+                                 "AKIA", "ABCDEFGH1234", "x", "\n", "é", "ſecret", "toKen", "a1b2c3"]), max_size=14))
+def test_base_spans_equal_plain_search(parts):
+    assert secrets.base_spans("".join(parts))[0] == plain_spans("".join(parts))
+
+
+def test_automaton_is_a_distribution_over_its_format():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("0a") for _ in range(6)) + "-g" for _ in range(300)]
+    machine = secrets.infer(words)
+    assert len(machine.next) > 8 and machine.log2("0a0a0a-g") > -12
+    assert machine.log2("0a0a0a-") == -math.inf == machine.log2("gggg")
+    total = sum(2 ** machine.log2("".join(w) + "-g") for n in range(1, 12) for w in itertools.product("0a", repeat=n))
+    assert 0.5 < total <= 1 + 1e-9
+
+
+def test_secret_query_and_redaction(spark, tiny, docs, texts):
+    for r in queries.QUERIES["op2_secret_scan"](spark, tiny).collect():
+        spans = plain_spans(texts[r["doc_id"]])
+        base = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for _, x, _ in spans) for k in range(3)]
+        assert set(base.split(",")) <= set(r["spans"].split(","))
+    key = "0123456789abcdef0123456789abcdef01234567"
+    odd = spark.createDataFrame([(1, f"a token={key} b"), (2, None), (3, "clean text")], "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(odd).orderBy("doc_id").collect()] == ["a [secret] b", None, "clean text"]
+
+
+def test_formats_find_what_the_fixed_ones_miss(spark):
+    rng = random.Random(5)
+    make = lambda: "-".join("".join(rng.choice("0123456789ABCDEF") for _ in range(8)) for _ in range(3))
+    rows = [(i, f"say token: {make()} now") for i in range(200)] + [(1000, f"left {make()} here"), (1001, "Wor-dy9-" * 4)]
+    found = {r["doc_id"]: r for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1000]["spans"] == "model:5:31" and found[1000]["n_model"] == 1
+    assert found[1001]["n_model"] == 0
+
+
+# --- suffix sorting -----------------------------------------------------------------------------------------------------------
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=3).map(lambda b: b * 9) | st.text("ab", max_size=70).map(str.encode), max_size=30),
+       st.integers(0, 40))
+def test_deep_shallow_order_and_prefixes(strings, shallow):
+    order, shared = sd.deep_shallow(strings, shallow) if strings else ([], [])
+    assert [strings[i] for i in order] == sorted(strings)
+    for k in range(1, len(order)):
+        assert shared[k] == sd.common_prefix(strings[order[k - 1]], strings[order[k]])
+    if strings:
+        table = sd.prefix_table(strings)
+        for i, j in itertools.combinations(range(len(strings)), 2):
+            assert table[i, j] == sd.common_prefix(strings[i], strings[j])
+
+
+def plain_repeats(texts, window):
+    seen = Counter(t[i:i + window] for t in texts for i in range(len(t) - window + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - window + 1):
+            if seen[t[i:i + window]] > 1:
+                gone[i:i + window] = b"\1" * window
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("classes", [1, 64])
+def test_repeats_equal_plain_search(spark, classes):
+    rng = random.Random(classes)
+    passage = "".join(rng.choice("abé ") for _ in range(150))
+    rows = [None, "", "short", "ab" * 80, "x" * 90]
+    for _ in range(60):
+        text = "".join(rng.choice("ab") for _ in range(rng.randrange(120)))
+        for _ in range(rng.randrange(4)):
+            a, b = sorted(rng.randrange(150) for _ in range(2))
+            text += passage[a:b] + "".join(rng.choice("abc") for _ in range(rng.randrange(40)))
+        rows.append(text)
+    rows += rows[-3:] + [rows[-1][:70] + "!" + rows[-1][70:]] * 2
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+           for r in sd.remove_repeats(frame, window=24, gram=6, classes=classes).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_repeats([(t or "").encode() for t in rows], 24)
+
+
+def test_anchors_do_not_depend_on_segments(monkeypatch):
+    text = random.Random(1).randbytes(5000) * 2
+    whole = [a.tolist() for a in sd.anchors(text, 100, 16)]
+    assert sum(b - a + 1 for a, b in zip(whole[1], whole[2])) == len(text) - 99
+    monkeypatch.setattr(sd, "SEGMENT", 777)
+    parts = [a.tolist() for a in sd.anchors(text, 100, 16)]
+    assert {*zip(whole[0], whole[3])} == {*zip(parts[0], parts[3])}
+
+
+# --- mixing ---------------------------------------------------------------------------------------------------------------------
+
+def plain_pour(total, nodes):
+    """{name: budget} of [(name, weight, capacity)] by raising a common level."""
+    out, active = {}, {n: (w, c) for n, w, c in nodes if w > 0 and c > 0}
+    out = {n: 0 for n, _, _ in nodes}
+    while active:
+        level = total / sum(w for w, _ in active.values())
+        full = [n for n, (w, c) in active.items() if c <= w * level + 1e-9]
+        if not full:
+            return out | {n: min(c, math.floor(w * level + 1e-9)) for n, (w, c) in active.items()}
+        for n in full:
+            out[n] = active.pop(n)[1]
+            total -= out[n]
+    return out
+
+
+def test_budgets_reach_siblings_before_ancestors(spark):
+    rng = random.Random(11)
+    leaves = [(f"d{a}", "en de fr".split()[b], f"s{c}", rng.choice([5, 40, 900]) * (c + 1), 3)
+              for a in range(3) for b in range(3) for c in range(4)]
+    frame = spark.createDataFrame(leaves, "domain string, language string, origin string, tokens long, docs long")
+    weights = {"domain": {"d0": 5.0}, "language": {"en": 3.0, "de": 0.0}, "origin": {"s1": 2.0}}
+    got = {(r["domain"], r["language"], r["origin"]): r["budget"]
+           for r in mixing.leaf_budgets(frame, 0.7, 2, weights).collect()}
+    weight = lambda level, n: weights[level].get(n, 1.0)
+    cap = {x[:3]: 2 * x[3] if x[1] != "de" else 0 for x in leaves}
+    under = lambda *key: sum(v for k, v in cap.items() if k[:len(key)] == key)
+    top = plain_pour(math.floor(0.7 * sum(x[3] for x in leaves)),
+                     [(d, weight("domain", d), under(d)) for d in ("d0", "d1", "d2")])
+    for d in top:
+        middle = plain_pour(top[d], [(g, weight("language", g), under(d, g)) for g in ("en", "de", "fr")])
+        for g in middle:
+            bottom = plain_pour(middle[g], [(s, weight("origin", s), cap[d, g, s]) for s in ("s0", "s1", "s2", "s3")])
+            assert {s: got[d, g, s] for s in bottom} == bottom
+
+
+def test_prefixes_of_epochs(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
+    rows = mixing.mixture(docs, share=1.3, epochs=3).collect()
+    n_tokens = {r["doc_id"]: len(plain_words(r["text"])) for r in docs.collect()}
+    leaves: dict = {}
+    for r in rows:
+        assert r["n_tokens"] == n_tokens[r["doc_id"]]
+        leaves.setdefault((r["domain"], r["lang"], r["source"], r["leaf_budget"]), []).append(r)
+    sources = {r["doc_id"]: (r["lang"], r["source"]) for r in docs.collect()}
+    for (_, lang, source, budget), taken in leaves.items():
+        own = [d for d, s in sources.items() if s == (lang, source)]
+        total = sum(n_tokens[d] for d in own)
+        whole, rest = divmod(budget, total)
+        last = {r["doc_id"] for r in taken if r["epoch"] == whole}
+        assert {(r["doc_id"], r["epoch"]) for r in taken if r["epoch"] < whole} == set(itertools.product(own, range(whole)))
+        assert sum(n_tokens[d] for d in last) <= rest
+        order = [r["doc_id"] for r in spark.createDataFrame([(d,) for d in own], "d long").select(
+            F.col("d").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.lit(7), F.lit(whole).cast("int"), "d"), 1).alias("p"))
+            .orderBy("p").collect()]
+        assert set(order[:len(last)]) == last
+        if len(last) < len(order):
+            assert sum(n_tokens[d] for d in order[:len(last) + 1]) > rest
+
+
+# --- near duplicates --------------------------------------------------------------------------------------------------------------
+
+def plain_components(texts, width, percent=80):
+    sets = {}
+    for k, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[k] = {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(k for k in sets if sets[k]), 2):
+        common = len(sets[a] & sets[b])
+        if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {k: (len(sets[k]), find(k)) for k in texts}
+
+
+def test_components_of_documents(spark, tiny, texts):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op6_near_duplicates"](spark, tiny).collect()}
+    assert got == plain_components(texts, 4)
+
+
+def test_chains_copies_and_shared_passages(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts, chain = {}, list(base)
+    for i in range(30):  # neighbours are alike, the ends are not
+        texts[i] = " ".join(chain)
+        chain[rng.randrange(120)] = f"v{i}"
+    for i in range(30, 60):  # a passage of a third is no duplicate
+        texts[i] = " ".join(base[:40] + [f"x{i}_{k}" for k in range(80)])
+    texts |= {60: texts[30].upper(), 61: "a b", 62: "A  B", 63: "a", 64: "", 65: None}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame, 4).collect()}
+    assert got == plain_components(texts, 4)
+
+
+def test_pigeonhole_puts_near_signatures_together():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**16, (200, near_dedup.POSITIONS))
+    b = a.copy()
+    for row in b:
+        row[rng.choice(near_dedup.POSITIONS, near_dedup.DISTANCE, replace=False)] += 1
+    x, y = (near_dedup.bucket_keys(s.astype(np.uint16)) for s in (a, b))
+    assert (x == y).any(axis=1).all()
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 100)], "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {95: 90, 100: 90}
+
+
+# --- quality ------------------------------------------------------------------------------------------------------------------------
+
+def test_quality_counts_and_ratio(spark, tiny, docs, texts):
+    import xxhash
+
+    def bucket(*words):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        return (h - 2**64 if h >= 2**63 else h) % quality.BUCKETS
+
+    def grams(words):
+        return [bucket(w) for w in words] + [bucket(*p) for p in zip(words, words[1:])]
+
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{tiny}/labels.parquet").where("quality = 1").collect()}
+    raw, target = Counter(), Counter()
+    for k, t in texts.items():
+        raw.update(grams(plain_words(t)))
+        if k in trusted:
+            target.update(grams(plain_words(t)))
+    n, m, b = raw.total(), target.total(), quality.BUCKETS
+    for r in queries.QUERIES["op7_quality_rules"](spark, tiny).collect():
+        text = texts[r["doc_id"]]
+        words = plain_words(text)
+        windows = Counter(zip(words, words[1:], words[2:]))
+        repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i:i + 3])] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if plain_words(x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated))
+        assert r["base_failed"] == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
+        own = grams(words)
+        llr = sum(math.log((target[g] + 1) / (m + b)) - math.log((raw[g] + 1) / (n + b)) for g in own) / len(own)
+        assert math.isclose(r["llr"], llr, abs_tol=1e-9)
+        assert r["kept"] == (not r["base_failed"] and llr >= quality.THRESHOLD)
+
+
+# --- packing ------------------------------------------------------------------------------------------------------------------------
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=120), st.integers(1, 6))
+def test_open_bins_are_bounded_and_best(sizes, most):
+    bins, held = packing.OpenBins(50, most), {}
+    for size in sizes:
+        free = {b: f for f, ids in bins.bins.items() for b in ids}
+        assert len(free) == bins.n_open <= most
+        bin_id, offset = bins.place(size)
+        fitting = [f for f in free.values() if f >= size]
+        assert offset == held.get(bin_id, 0) and (50 - offset == min(fitting) if fitting else offset == 0)
+        held[bin_id] = offset + size
+        assert held[bin_id] <= 50
+        still = {b: f for f, ids in bins.bins.items() for b in ids}
+        closed = [50 - held[b] for b in {*free, bin_id} - still.keys()]
+        assert all(f == 0 or f <= min(still.values(), default=f) for f in closed)  # only the fullest closes
+
+
+def test_packing_round_trip(spark, tiny, docs):
+    from episodia.llm.tokens import tokenizer_path
+    from tokenizers import Tokenizer
+
+    odd = [(10**6 + i, t) for i, t in enumerate([None, "", "Été, ÉTÉ. don't x1 a|b it's <|endoftext|> \x1c \x85 İx. ſ", "a" * 30000])]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    coder = Tokenizer.from_file(str(tokenizer_path()))
+    rows = packing.pack(frame).collect()
+    pieces: dict = {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for doc_id, text in frame.collect():
+        ids = coder.encode(text or "", add_special_tokens=False).ids + [1]
+        want = [(k, at, len(ids[at:at + 4096]), zlib.crc32(np.array(ids[at:at + 4096], "<u4").tobytes()))
+                for k, at in enumerate(range(0, len(ids), 4096))]
+        assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in sorted(pieces[doc_id], key=lambda r: r["piece"])] == want
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in sequences.values():
+        held.sort()
+        assert [o for o, _ in held] == [0, *itertools.accumulate(n for _, n in held)][:-1]
+        assert sum(n for _, n in held) <= 4096
+    assert len(sequences) <= 1.1 * sum(r["length"] for r in rows) / 4096 + frame.rdd.getNumPartitions() + 1
+
+
+# --- language model ---------------------------------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("frequent", [50, 10**6])
+def test_scores_of_texts(spark, docs, texts, frequent):
+    table = docs.select("doc_id", "text").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    counts = Counter()
+    for k, t in texts.items():
+        if crc(k) % 7 != 2:
+            counts.update((t or "").encode().lower().split() + [lm.END])
+    n, v = counts.total(), len(counts)
+    base = model = 0.0
+    for r in lm.score_texts(table, ~F.col("held_out"), frequent=frequent).collect():
+        words = (texts[r["doc_id"]] or "").encode().lower().split() + [lm.END]
+        want = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)
+        assert math.isclose(r["base_score"], want, rel_tol=1e-9)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
+        if r["held_out"]:
+            base, model = base + r["base_score"], model + r["score"]
+    assert model > base if frequent > 50 else model < 0
+
+
+def test_word_shares_are_a_distribution():
+    words = [lm.END, *(f"w{i}".encode() for i in range(40))]
+    counts = np.sort(np.random.default_rng(0).integers(1, 90, 41))[::-1].astype(np.int64)
+    lexicon = lm.Lexicon(words, counts, int(counts.sum()) + 30, 41 + 20, 6)  # 20 more words seen 30 times in all
+    within = np.bincount(lexicon.class_of[:-1], weights=10 ** (lexicon.log_count[:-1] - lexicon.log_mass[lexicon.class_of[:-1]]), minlength=6)
+    beyond = (30 + 20 + 1) / 10 ** lexicon.log_mass[5]
+    assert np.allclose(within[np.unique(lexicon.class_of[:-1])], 1) and math.isclose(beyond, 1)
+    assert lexicon.ids([b"w3", lm.END, b"none"]).tolist() == [4, 0, 41]
+    rows = np.random.default_rng(1).integers(0, 8, (5, 4))
+    assert np.allclose(np.exp(lm.log_class(np.random.default_rng(2).normal(size=(8, 6)), lexicon.prior, rows)).sum(axis=1), 1)
+
+
+# --- top-k --------------------------------------------------------------------------------------------------------------------------------
+
+def test_top_k_with_ties_and_odd_vectors(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(6)]) for i in range(120)]
+    rows += [(200, [0.5] * 6), (201, [0.5] * 6), (202, None), (203, [float("nan")] * 6), (204, [None] * 6),
+             (None, [1.0] * 6), (220, [0.5, 0.5]), (240, []), (260, [float("inf")] * 6)]
+    frame = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in topk.exact_topk(frame, F.col("vec_id") % 20 == 0, 7, query_block=4, candidate_block=30).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    held = {i: [math.floor(64 * x) for x in v] for i, v in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    want = {q: [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(
+        (-sum(a * b for a, b in zip(held[q], v)), i) for i, v in held.items() if i != q)[:7])] for q in held if q % 20 == 0}
+    assert {q: sorted(x) for q, x in got.items()} == want
