@@ -570,7 +570,7 @@ CUED_CTES = {
              "WHEN answer_type = 'ANSWER_TYPE.NUMERIC' THEN 'number' WHEN answer_type = 'ANSWER_TYPE.DATE' THEN 'date' END AS rule, "
              "TRY_CAST(CASE WHEN regexp_full_match(candidate, '[0-9]+') THEN candidate END AS BIGINT) AS no, "
              "TRY_CAST(CASE WHEN regexp_full_match(gold_text, '[0-9]+') THEN gold_text END AS BIGINT) AS gno, "
-             "CAST(try_strptime(candidate, ['%Y-%m-%d', '%B %d, %Y', '%m/%d/%Y']) AS DATE) AS day FROM golded",
+             "CAST(try_strptime(candidate, ['%Y-%m-%d', '%B %d, %Y', '%b %d, %Y', '%d %B %Y', '%d %b %Y', '%Y/%m/%d', '%m/%d/%Y', '%B %d %Y']) AS DATE) AS day FROM golded",
 }
 ORACLES["parse_cued"] = sql("SELECT id, candidate, conf AS parse_confidence FROM cued", "cued_outputs", extra=CUED_CTES)
 ORACLES["gold_literal"] = sql(
@@ -589,3 +589,23 @@ ORACLES["label_frequency_compare"] = (
     "CASE WHEN n_a > n_b THEN 'more common than' WHEN n_a < n_b THEN 'less common than' ELSE 'same frequency as' END AS relation "
     "FROM (SELECT lang, label AS label_a, n AS n_a, lead(label) OVER w AS label_b, lead(n) OVER w AS n_b FROM c "
     "WINDOW w AS (PARTITION BY lang ORDER BY label)) WHERE label_b IS NOT NULL")
+NOTHING = "CAST(NULL AS VARCHAR) AS "
+ORACLES["score_stream"] = sql(
+    f"SELECT id, context_window_id, {NOTHING}dataset, 'm1' AS model, " + shown("pk", "ps") + " AS attempted_parse, "
+    "CASE WHEN boxed IS NULL THEN 'low' ELSE 'high' END AS parse_confidence, output AS full_answer, score, "
+    f"CAST(NULL AS BIGINT) AS context_len, {NOTHING}task_group, {NOTHING}task, {NOTHING}answer_type, "
+    + shown("gk", "gold") + " AS answer FROM scored", "boxed_outputs", extra=BOXED_CTES)
+
+# --- files written and read again: the oracle works on the rows before they were written ---------------------------
+ORACLES["log_files_edges"] = sql(
+    "SELECT campaign, episode, count(*) AS n, arg_min(character, seq) AS first_character, "
+    "arg_max(natural_value, seq) AS last_value FROM (SELECT seq, campaign, episode, coalesce(character, 'nobody') AS character, "
+    "natural_value FROM roll_log) GROUP BY 1, 2", "roll_log")
+ORACLES["question_set_files"] = sql(
+    "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS n, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5, "
+    "CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS context_len FROM documents")
+# an id has an output twice or none; empty ones with a reason count as filtered, others stay open
+ORACLES["score_run_summary"] = sql(
+    "SELECT concat('Overall score for m1 on ', n, ' examples: ', correct, '/', n, ' = ', score) AS summary "
+    f"FROM ({TOTAL})", "boxed_outputs", extra={**BOXED_CTES, "everything": "SELECT id, score FROM scored "
+    "UNION ALL SELECT id, 0.0 FROM boxed_outputs WHERE output IS NULL"})

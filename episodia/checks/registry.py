@@ -325,7 +325,8 @@ def _(spark, d):
 
 @query("context_len_range")
 def _(spark, d):
-    return ev.in_length_range(measured(spark, d)).select("doc_id", "context_len")
+    # the length is stored before it is filtered, so each text is measured once
+    return ev.in_length_range(materialize(measured(spark, d).select("doc_id", "context_len")))
 
 
 @query("text_variant_select")
@@ -487,3 +488,71 @@ def _(spark, d):
                        model=MODEL, fmt="parquet")
     job.awaitTermination()
     return spark.read.schema(results.SCORED_ROW).parquet(f"{folder}/rows")
+
+
+# --- files written and read again ---------------------------------------------------------------------------------
+
+def fresh_folder(spark, name: str) -> str:
+    import uuid
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+@query("log_files_edges")
+def _(spark, d):
+    """The roll log as several tab-separated files, read back in one order."""
+    folder = fresh_folder(spark, "logs")
+    rows = rolls(spark, d).select(
+        "seq", "campaign", F.concat_ws("/", "campaign", "episode").alias("episode"), F.lit("0").alias("time"),
+        F.coalesce("character", F.lit("nobody")).alias("character"), F.lit("r").alias("roll_type"),
+        F.lit("1").alias("total_value"), "natural_value")
+    (rows.repartitionByRange(5, "seq").sortWithinPartitions("seq").drop("seq", "campaign")
+     .write.option("sep", "\t").option("header", True).csv(folder))
+    back = read_log_rows(spark, folder)
+    place = F.split("place", "/")
+    return back.groupBy(place[0].alias("campaign"), place[1].cast("int").alias("episode")).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("character", "seq").alias("first_character"),
+        F.max_by("natural_value", "seq").alias("last_value"))
+
+
+def read_log_rows(spark, folder: str) -> DataFrame:
+    from ..sources.logs import _read_tsv
+
+    return _read_tsv(spark, folder, ("place", "time", "character", "roll_type", "total_value", "natural_value"), "*.csv")
+
+
+@query("question_set_files")
+def _(spark, d):
+    """Documents as windows cut into short parts, written with their questions, read back and measured."""
+    from ..plans import jobs
+
+    folder = fresh_folder(spark, "questions")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    lines = F.split("text", "\n")
+    parts = docs.select("id", F.size(lines).alias("parts"), F.posexplode(lines).alias("place", "line"))
+    texts = parts.select(
+        F.col("id").alias("context_window_id"), (F.col("place") + 1).alias("part"), "parts",
+        F.concat("line", F.when(F.col("place") + 1 < F.col("parts"), "\n").otherwise("")).alias("context_window_text"))
+    asked = docs.select("id", F.col("id").alias("context_window_id"), F.lit("q").alias("question"), F.lit("a").alias("answer"),
+                        F.lit("t").alias("question_type"), F.array(F.lit(1)).alias("episodes"), F.lit("campaign1").alias("campaign"))
+    results.write_question_set(asked, texts, folder)
+    questions, windows = results.read_question_set(spark, folder, "test")
+    whole = results.whole_texts(windows).select(
+        "context_window_id", F.length("context_window_text").cast("bigint").alias("chars"),
+        F.md5("context_window_text").alias("text_md5"))
+    counted = questions.groupBy("id", "context_window_id").agg(F.count(F.lit(1)).alias("n"))
+    return (counted.join(whole, "context_window_id").join(jobs.window_lengths(windows), "context_window_id")
+            .select("id", "n", "chars", "text_md5", "context_len"))
+
+
+@query("score_run_summary")
+def _(spark, d):
+    """A run in two calls: repeated, filtered, empty and missing outputs over the whole set of questions."""
+    from ..plans import jobs
+
+    folder = fresh_folder(spark, "run")
+    given = view(spark, d, "boxed_outputs").select("id", "output", "finish_reason")
+    # filtered ones would score against their fixed text, which equals no answer; so they are errors in the oracle
+    twice = given.where("crc32(id) % 2 = 0").union(given.where("crc32(id) % 4 = 0"))
+    jobs.score_run(datapoints(spark, d), twice, folder, MODEL)
+    return jobs.score_run(datapoints(spark, d), given.where("output is not null or crc32(id) % 3 > 0"), folder, MODEL)

@@ -34,12 +34,13 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "damage_dealt": "value",
         "kills": "CASE WHEN event_id % 10 = 0 THEN '1' WHEN event_id % 15 = 1 THEN '1.0' ELSE NULL END",
     }),
-    "spell_log": ("events", "event_type <> 'error'", {
+    "spell_log": ("events", None, {
         "seq": "event_id",
         "campaign": CAMPAIGN.format("event_id"),
         "episode": DAY,
         "character": f"CASE WHEN user_id % 16 = 0 THEN 'DM' ELSE concat('u', {_text('user_id % 16')}) END",
-        "spell": "CASE WHEN event_id % 89 = 0 THEN NULL "
+        "spell": "CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'Unknown' "
+                 "WHEN event_type = 'error' OR event_id % 89 = 0 THEN NULL "
                  f"ELSE concat(event_type, '_', {_text('user_id % 12')}) END",
         "base_lvl": f"CASE WHEN user_id % 10 = 0 THEN 'Cantrip' ELSE {_text('user_id % 9 + 1')} END",
         "cast_at": "CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 37 = 0 THEN 'Cantrip' "
@@ -62,8 +63,9 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     "boxed_outputs": ("events", None, {
         "id": _text("event_id", 20),
         "context_window_id": f"concat('w', {_text('user_id % 50')})",
-        "answer": f"CASE event_id % 3 WHEN 0 THEN {NUMBER} WHEN 1 THEN event_type "
-                  f"ELSE concat(event_type, ', x', {_text('user_id % 3')}, ', view') END",
+        "answer": "CASE WHEN event_id % 35 = 5 THEN concat('[', event_type, ']') ELSE "
+                  f"CASE event_id % 3 WHEN 0 THEN {NUMBER} WHEN 1 THEN event_type "
+                  f"ELSE concat(event_type, ', x', {_text('user_id % 3')}, ', view') END END",
         "output": "CASE event_id % 7 "
                   f"WHEN 0 THEN concat('I think ', {NUMBER}) "
                   "WHEN 1 THEN concat('so ', chr(92), 'boxed{', chr(92), 'text{', event_type, '}}') "
@@ -96,7 +98,9 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
                   "WHEN 1 THEN 'Answer: less common' ELSE 'Answer: the first label is more common than the second one' END "
                   "ELSE CASE user_id % 3 "
                   f"WHEN 0 THEN concat('Date: 2024-01-', lpad({_text('day(ts)', 4)}, 2, '0')) "
-                  "WHEN 1 THEN 'Date: January 5, 2024' ELSE 'no idea' END END",
+                  "WHEN 1 THEN CASE user_id % 7 WHEN 0 THEN 'Date: Jan 5, 2024' WHEN 1 THEN 'Date: 5 January 2024' "
+                  "WHEN 2 THEN 'Date: 2024/01/05' WHEN 3 THEN 'Date: 1/5/2024' WHEN 4 THEN 'Date: January 5 2024' "
+                  "WHEN 5 THEN 'Date: 5 Jan 2024' ELSE 'Date: January 5, 2024' END ELSE 'no idea' END END",
     }),
 }
 

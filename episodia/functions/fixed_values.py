@@ -49,7 +49,10 @@ PHRASE = "How do you want to do this?"
 COMPARISONS = ("more common", "less common", "same frequency")
 ANSWER_CUES = ("User:", "Answer:", "Date:", "Label")
 SHORT_ANSWER = 20
-DATE_FORMATS = ("yyyy-MM-dd", "MMMM d, yyyy", "MM/dd/yyyy")
+DATE_FORMATS = (
+    "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy",
+    "d MMMM yyyy", "d MMMM, yyyy", "d MMM yyyy", "d MMM, yyyy", "d-MMM-yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy MMMM d",
+)
 SYSTEM_TEXT = "You are a helpful assistant."
 FILTERED_OUTPUT = "CONTENT_FILTERED"
 

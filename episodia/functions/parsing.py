@@ -134,4 +134,9 @@ def whole_number(text: Column) -> Column:
 
 
 def full_date(text: Column, formats: tuple[str, ...] = fixed.DATE_FORMATS) -> Column:
-    return F.coalesce(*[F.try_to_date(text, fmt) for fmt in formats])
+    """Date of a text in one of ``formats``; month names in any case, a weekday, ordinal endings and midnight aside."""
+    bare = F.regexp_replace(strip(text), r"(?i)^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?,? +", "")
+    bare = F.regexp_replace(bare, r"[ T]+00:00(:00)?$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)([0-9])(st|nd|rd|th)\b", "$1"), r"(?i)\b([a-z]{3,9})\.", "$1")
+    bare = F.initcap(F.lower(F.regexp_replace(bare, " +", " ")))
+    return F.coalesce(*[F.try_to_date(bare, fmt) for fmt in formats])

@@ -88,17 +88,19 @@ def sorted_positions(rows: DataFrame, order: Sequence[str], out: str) -> DataFra
     """1-based place of each row in the order of unique ``order`` columns, over the whole table.
 
     The rows are written sorted, which spreads even one huge leading value over many files. A place
-    is then the row's index in its file plus the rows of all files before it; nothing is gathered.
+    is then the row's index in its file plus the rows of all files before it; nothing is gathered. A
+    sorted part may be cut into several files, whose counter follows the part's number in the name.
     """
     table = materialize(rows.orderBy(*order))
+    name = F.col("_metadata.file_name")
     placed = table.select(
-        "*", F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("bigint").alias("_file"),
+        "*", F.regexp_extract(name, "part-([0-9]+)", 1).cast("bigint").alias("_part"),
+        F.regexp_extract(name, "-c([0-9]+)[.]", 1).cast("bigint").alias("_file"),
         F.col("_metadata.row_index").alias("_row"))
-    sizes = placed.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    # one row per file of the sort, so never more than its shuffle partitions: safe to broadcast
-    offsets = F.broadcast(sizes.select("_file", before.alias("_before")))
-    return placed.join(offsets, "_file").select(
+    sizes = placed.groupBy("_part", "_file").agg((F.max("_row") + 1).alias("_n"))
+    in_order = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = sizes.select("_part", "_file", (F.sum("_n").over(in_order) - F.col("_n")).alias("_before"))
+    return placed.join(offsets, ["_part", "_file"]).select(
         *rows.columns, (F.col("_before") + F.col("_row") + 1).cast("bigint").alias(out))
 
 

@@ -367,8 +367,9 @@ def context_texts(members: DataFrame, chunks: DataFrame, by: Sequence[str], prom
     if prompts is None:
         head = F.lit("")
     else:
-        pieces = (pieces.join(prompts, "campaign") if "campaign" in prompts.columns
-                  else pieces.join(prompts.withColumn("leads", F.lit(True)), "leads", "left"))
+        # one prompt for all is a single value, not a side to join
+        pieces = (pieces.join(prompts, "campaign", "left") if "campaign" in prompts.columns
+                  else pieces.withColumn("prompt", prompts.select("prompt").scalar()))
         head = F.when(F.col("leads"), window_prompt(F.col("episode_count"), F.col("prompt"))).otherwise("")
     gap = F.when(F.col("opens") & ~F.col("leads"), "\n\n").otherwise("")
     piece = F.concat(
@@ -380,13 +381,11 @@ def context_texts(members: DataFrame, chunks: DataFrame, by: Sequence[str], prom
 
 
 def export_rows(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Question rows with their context text, as the question files hold them.
+    """Question rows with their whole context text, one row per id; text is joined last.
 
-    Text is joined last. ``part`` is set only for windows whose text needs several rows.
+    For exports that want it in the row: windows whose text one value cannot hold need ``write_question_set``.
     """
-    carried = texts.select(
-        "context_window_id", F.when(F.col("parts") > 1, F.col("part")).alias("part"),
-        F.col("text").alias("context_window_text"))
-    return rows.join(carried, "context_window_id").select(
-        "id", "context_window_id", "context_window_text", "part", "question", "answer",
+    whole = texts.groupBy("context_window_id").agg(listing("text", "part", "").alias("context_window_text"))
+    return rows.join(whole, "context_window_id").select(
+        "id", "context_window_id", "context_window_text", "question", "answer",
         "question_type", "episodes", "campaign")

@@ -25,6 +25,12 @@ def resolve_filtered(outputs: DataFrame) -> DataFrame:
     return outputs.withColumn("output", text)
 
 
+def one_output(outputs: DataFrame) -> DataFrame:
+    """One row per id: a text before none, then the smallest text and reason, so repeats never count twice."""
+    least = F.min(F.struct(F.col("output").isNull().alias("none"), "output", "finish_reason")).alias("x")
+    return outputs.where("id is not null").groupBy("id").agg(least).select("id", "x.output", "x.finish_reason")
+
+
 def empty_outputs(outputs: DataFrame) -> DataFrame:
     """Outputs that are empty for no accepted reason."""
     return resolve_filtered(outputs).where(F.col("output").isNull())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,18 +32,41 @@ def build_session(app: str = "episodia", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_OWN_FOLDERS: dict[str, str] = {}  # by application
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, notebooks) is a folder of our own made.
+    Only with a local master (tests, notebooks), where driver and tasks share one machine, an unset name gives a
+    folder of our own, which goes when the program ends. A cluster without the setting is an error: a folder of
+    one machine would be lost on the others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    return tempfile.mkdtemp(prefix="episodia-")
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isDefined():
+        return context.getCheckpointDir().get()
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_FOLDERS:
+        _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="episodia-")
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[application], ignore_errors=True)
+    return _OWN_FOLDERS[application]
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables ``materialize`` wrote in this application; DataFrames over them end. Returns how many."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    for name in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        dropped += bool(path.getFileSystem(hadoop).delete(path, True))
+    return dropped
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -51,5 +77,6 @@ def materialize(df: DataFrame) -> DataFrame:
     true size.
     """
     path = f"{shared_folder(df.sparkSession)}/episodia-{uuid.uuid4()}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from ..functions import fixed_values as fixed
 from ..functions.text import capitalise
 from ..operators.ordered import running_totals, seq_levels
 from ..operators.tallies import EPISODE, listing
-from .logs import file_order
+from .logs import in_file_order
 
 TURN = T.StructType([
     T.StructField("NAMES", T.ArrayType(T.StringType())),
@@ -76,23 +76,23 @@ def text_chunks(lines: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
         F.sum(F.length("line")).cast("bigint").alias("chars"), listing("line", "seq", "").alias("text"))
 
 
-def read_transcripts(spark: SparkSession, path: str, campaign: str) -> DataFrame:
-    """Whole transcript files ``C*E*.txt``; the number after ``E`` is the episode."""
-    files = spark.read.option("pathGlobFilter", "C*E*.txt").text(path, wholetext=True)
-    number = F.regexp_extract(F.col("_metadata.file_name"), "E([0-9]+)", 1).try_cast("int")
-    return files.select(F.lit(campaign).alias("campaign"), number.alias("episode"),
-                        F.lit(0).cast("bigint").alias("chunk"), F.length("value").cast("bigint").alias("chars"),
-                        F.col("value").alias("text")).where(F.col("episode").isNotNull())
-
-
 def read_transcript_lines(spark: SparkSession, path: str, campaign: str) -> DataFrame:
-    """Transcript files line by line, in file order. Files of any size are split over tasks."""
-    rows = spark.read.option("pathGlobFilter", "C*E*.txt").text(path)
-    number = F.regexp_extract(F.col("_metadata.file_name"), "E([0-9]+)", 1).try_cast("int")
-    return rows.select(F.lit(campaign).alias("campaign"), number.alias("episode"), file_order().alias("seq"),
+    """Transcript files ``C*E*.txt`` line by line, in file order; the number after ``E`` is the episode.
+
+    Files of any size are split over tasks.
+    """
+    glob = "C*E*.txt"
+    rows = in_file_order(spark.read.option("pathGlobFilter", glob).text(path), path, glob)
+    number = F.regexp_extract("file_name", "E([0-9]+)", 1).try_cast("int")
+    return rows.select(F.lit(campaign).alias("campaign"), number.alias("episode"), "seq",
                        F.col("value").alias("line")).where(F.col("episode").isNotNull())
 
 
+def read_transcripts(spark: SparkSession, path: str, campaign: str, part_chars: int = PART_CHARS) -> DataFrame:
+    """Transcript files as texts in chunks of bounded size, one for ordinary files; every line ends with a break."""
+    return text_chunks(read_transcript_lines(spark, path, campaign), part_chars)
+
+
 def write_transcripts(lines: DataFrame, path: str, part_chars: int = PART_CHARS) -> None:
     """Text files under ``campaign=…/episode=…/chunk=…``, one per chunk, lines in order."""
     chunks = text_chunks(lines, part_chars)

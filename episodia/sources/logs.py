@@ -6,7 +6,7 @@ compare with texts such as "20" and "Cantrip".
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,28 +28,57 @@ def null_if_missing(text: Column) -> Column:
     return F.when(~text.isin(*fixed.MISSING_TEXTS), text)
 
 
-def file_order() -> Column:
-    """Order number of a row in one file that Spark reads as many splits.
+# A row's order number: where its split starts in all files laid end to end, in units, then its place in its task.
+UNIT_BITS, ROW_BITS = 16, 29
 
-    The split's start offset (in MiB) leads and the row's place in its task follows. Splits are at
-    least a few MiB, so no two share a lead; the number grows along the file without any shuffle.
-    """
-    lead = F.shiftleft((F.col("_metadata.file_block_start") / F.lit(1 << 20)).cast("bigint"), 33)
-    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return lead.bitwiseOR(inside)
 
+def file_starts(spark: SparkSession, path: str, glob: str | None, order: Column | None = None) -> DataFrame:
+    """(_path, _base): every file and the units of all files before it, in the order of ``order`` and path.
 
-def _read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    raw = (
-        spark.read.schema(_texts(*columns))
-        .option("sep", "\t").option("header", True).option("enforceSchema", True)
-        .csv(path)
-    )
-    return raw.select(file_order().alias("seq"), *[null_if_missing(F.col(c)).alias(c) for c in columns])
+    Files are listed, not read.
+    """
+    listed = spark.read.format("binaryFile")
+    if glob:
+        listed = listed.option("pathGlobFilter", glob)
+    files = listed.load(path).select(F.col("_metadata.file_path").alias("_path"),
+                                     F.col("_metadata.file_name").alias("_name"), F.col("length"))
+    files = files.withColumn("_key", F.lit(0) if order is None else order)
+    units = F.floor(F.col("length") / F.lit(1 << UNIT_BITS)).cast("bigint") + 1
+    before = Window.orderBy("_key", "_path").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("_path", F.coalesce(F.sum(units).over(before), F.lit(0).cast("bigint")).alias("_base"))
+
+
+def in_file_order(raw: DataFrame, path: str, glob: str | None = None, order: Column | None = None) -> DataFrame:
+    """``raw`` as read from ``path``, with ``seq``: unique, and growing along each file and from file to file.
+
+    Splits start at least a unit (64 KiB) apart, so no two share a lead; a task has fewer rows than 2^29, as it
+    reads fewer bytes. No row is shuffled for its number: only the list of files joins.
+    """
+    spark = raw.sparkSession
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if size(spark.conf.get("spark.sql.files.maxPartitionBytes")) < 1 << UNIT_BITS:
+        raise ValueError("spark.sql.files.maxPartitionBytes must be 64k at least to keep the order of rows")
+    columns = raw.columns
+    placed = raw.select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_name"),
+        F.floor(F.col("_metadata.file_block_start") / F.lit(1 << UNIT_BITS)).cast("bigint").alias("_split"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_row"))
+    lead = F.shiftleft(F.col("_base") + F.col("_split"), ROW_BITS)
+    return placed.join(file_starts(spark, path, glob, order), "_path").select(
+        lead.bitwiseOR(F.col("_row")).alias("seq"), F.regexp_replace("_name", "%20", " ").alias("file_name"), *columns)
+
+
+def _read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...], glob: str | None = None,
+              order: Column | None = None) -> DataFrame:
+    reader = spark.read.schema(_texts(*columns)).option("sep", "\t").option("header", True).option("enforceSchema", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    rows = in_file_order(reader.csv(path), path, glob, order)
+    return rows.select("seq", "file_name", *[null_if_missing(F.col(c)).alias(c) for c in columns])
 
 
 def read_log(spark: SparkSession, path: str, campaign: str, columns: tuple[str, ...]) -> DataFrame:
-    """One merged log file of one campaign, with ``seq`` in file order."""
+    """The merged log of one campaign, a file or a folder of files, with ``seq`` in file order."""
     rows = _read_tsv(spark, path, columns)
     return rows.select(F.lit(campaign).alias("campaign"), F.col("episode").try_cast("int").alias("episode"),
                        "seq", *columns[1:])
@@ -68,29 +97,22 @@ def read_episode_files(spark: SparkSession, path: str, campaign: str, columns: t
                        extra_column: tuple[int, int] | None = None) -> DataFrame:
     """One log file per episode: merge them, with the episode taken from the file name.
 
-    ``extra_column`` is the range of episodes whose files have one more leading column, which is
-    cut. ``seq`` is episode and line, so the merged log is in episode order.
+    ``columns`` are those of the merged log, whose first is the episode. ``extra_column`` is the range of episodes
+    whose files have one more leading column, which is cut. ``seq`` grows from episode to episode and along each
+    file. Files are read row by row and split over tasks, whatever their size.
     """
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), "%20", " ")
-    lines = files.select(
-        F.regexp_extract(name, episode_pattern, 1).try_cast("int").alias("episode"),
-        F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "line"),
-    ).where("pos > 0 and line <> '' and episode is not null")
-    line = F.col("line")
-    if extra_column:
-        first, last = extra_column
-        line = F.when(F.col("episode").between(first, last), F.regexp_replace(line, "^[^\t]*\t", "")).otherwise(line)
     fields = columns[1:]
-    parsed = F.from_csv(line, ", ".join(f"`{c}` string" for c in fields), {"sep": "\t"})
-    return lines.withColumn("row", parsed).select(
-        F.lit(campaign).alias("campaign"), "episode",
-        (F.shiftleft(F.col("episode").cast("bigint"), 32) + F.col("pos")).alias("seq"),
-        *[null_if_missing(F.col(f"row.{c}")).alias(c) for c in fields])
+    number = F.regexp_extract(F.regexp_replace("_name", "%20", " "), episode_pattern, 1).try_cast("int")
+    generic = tuple(f"_c{i}" for i in range(len(fields) + 1))
+    rows = _read_tsv(spark, path, generic, glob, number).withColumn(
+        "episode", F.regexp_extract("file_name", episode_pattern, 1).try_cast("int")).where("episode is not null")
+    extra = F.col("episode").between(*extra_column) if extra_column else F.lit(False)
+    return rows.select(F.lit(campaign).alias("campaign"), "episode", "seq", *[
+        F.when(extra, F.col(generic[i + 1])).otherwise(F.col(generic[i])).alias(c) for i, c in enumerate(fields)])
 
 
 def read_players(spark: SparkSession, path: str, campaign: str | None = None) -> DataFrame:
-    rows = _read_tsv(spark, path, PLAYER_COLUMNS)
+    rows = _read_tsv(spark, path, PLAYER_COLUMNS).drop("file_name")
     if campaign is not None:
         rows = rows.withColumn("campaign", F.lit(campaign))
     return player_map(rows)

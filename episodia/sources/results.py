@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fixed
 from ..functions.text import clean_text
+from ..operators.tallies import listing
 
 QUESTION_ROW = T.StructType([
     T.StructField("id", T.StringType()),
@@ -18,6 +19,7 @@ QUESTION_ROW = T.StructType([
     T.StructField("question_type", T.StringType()),
     T.StructField("episodes", T.ArrayType(T.IntegerType())),
     T.StructField("campaign", T.StringType()),
+    T.StructField("part", T.LongType()),  # only in exports that cut long texts into several rows
 ])
 
 SCORED_ROW = T.StructType([
@@ -36,6 +38,14 @@ SCORED_ROW = T.StructType([
     T.StructField("answer", T.StringType()),
 ])
 
+# a window's context text, in parts whose texts in order are the whole
+WINDOW_TEXT = T.StructType([
+    T.StructField("context_window_id", T.StringType()),
+    T.StructField("part", T.LongType()),
+    T.StructField("parts", T.LongType()),
+    T.StructField("context_window_text", T.StringType()),
+])
+
 OUTPUT_ROW = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("output", T.StringType()),
@@ -53,8 +63,8 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "json",
 
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
-    """Scored rows of earlier runs."""
-    return spark.read.schema(SCORED_ROW).json(path)
+    """Scored rows of earlier runs, also those written by batch."""
+    return spark.read.schema(SCORED_ROW).json(path).select(*SCORED_ROW.names)
 
 
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
@@ -93,6 +103,29 @@ def write_questions(rows: DataFrame, path: str) -> None:
     with_split(rows).write.mode("overwrite").partitionBy("split").json(path)
 
 
+def write_question_set(rows: DataFrame, texts: DataFrame, path: str) -> None:
+    """Questions under ``questions`` and their windows' texts, once each and in parts, under ``texts``."""
+    write_questions(rows, f"{path}/questions")
+    texts.select(*[F.col(f.name).cast(f.dataType) for f in WINDOW_TEXT.fields]).write.mode("overwrite").json(f"{path}/texts")
+
+
+def read_question_set(spark: SparkSession, path: str, split: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Questions without text, one row per id, and window texts as ``write_question_set`` left them."""
+    schema = T.StructType([f for f in QUESTION_ROW.fields if f.name not in ("context_window_text", "part")]).add("split", "string")
+    questions = spark.read.schema(schema).json(f"{path}/questions")
+    if split is not None:
+        questions = questions.where(F.col("split") == split)
+    return questions, spark.read.schema(WINDOW_TEXT).json(f"{path}/texts")
+
+
+def whole_texts(windows: DataFrame) -> DataFrame:
+    """One row per window, its parts joined in order. Only for windows whose text one value can hold."""
+    if "part" not in windows.columns:
+        return windows
+    texts = [c for c in windows.columns if c.startswith("context_window_text")]
+    return windows.groupBy("context_window_id").agg(*[listing(c, "part", "").alias(c) for c in texts])
+
+
 def question_answer_json(rows: DataFrame) -> DataFrame:
     """Bare ``{question, answer}`` lines with quotes escaped in both."""
     pair = F.struct(clean_text(F.col("question")).alias("question"),

@@ -85,9 +85,9 @@ def test_plan_and_resume(spark, tmp_path):
 
     folder = str(tmp_path)
     outputs = spark.createDataFrame([("a", "\\boxed{1}", "stop"), ("b", "\\boxed{3}", "stop")], results.OUTPUT_ROW)
-    assert "1.75/2" in jobs.score_run(questions, outputs, folder, "m").first().summary
+    assert "1.75/4" in jobs.score_run(questions, outputs, folder, "m").first().summary
     more = spark.createDataFrame([("a", "\\boxed{9}", "stop"), ("c", "\\boxed{3}", "stop")], results.OUTPUT_ROW)
-    assert "2.75/3" in jobs.score_run(questions, more, folder, "m").first().summary
+    assert "2.75/4" in jobs.score_run(questions, more, folder, "m").first().summary
     state = jobs.resume_state(spark, folder).first()
     assert (state.n_done, state.sum_score) == (3, 2.75)
     todo = jobs.plan_run(questions, windows, results.read_scored(spark, f"{folder}/full_output"), minimum=0, batch_size=2)
@@ -122,3 +122,64 @@ def test_window_order(points):
     rows, df = points
     got = [(r.id, r.context_window_id) for r in ev.window_order(df).collect()]
     assert got == sorted(rows, key=lambda r: (r[1], r[0]))
+
+
+def test_batches_over_many_files_of_a_part(spark, points):
+    rows, df = points
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        got = {r.id: r.row_no for r in ev.batches(df, 16).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert [got[i] for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))] == list(range(1, 901))
+
+
+def test_run_with_repeated_empty_and_missing_outputs(spark, tmp_path):
+    questions = spark.createDataFrame([(i, "w", "1") for i in "abcd"], "id string, context_window_id string, answer string")
+    outputs = spark.createDataFrame(
+        [("a", "\\boxed{1}", "stop"), ("a", "\\boxed{1}", "stop"), ("b", None, "stop"), ("c", None, "content_filter")],
+        results.OUTPUT_ROW)
+    folder = str(tmp_path)
+    batches = spark.createDataFrame([(i, k // 2) for k, i in enumerate("abcd")], "id string, batch_id bigint")
+    first = jobs.score_run(questions, outputs, folder, "m", batches=batches).first().summary
+    assert "on 4 examples: 1.0/4 = 0.25" in first
+    assert [r.id for r in spark.read.json(f"{folder}/rejects").collect()] == ["b"]
+    assert sorted(p.name for p in (tmp_path / "batch_output").glob("batch*")) == ["batch_id=0", "batch_id=1"]
+    again = spark.createDataFrame([("b", "\\boxed{1}", "stop"), ("a", "\\boxed{9}", "stop")], results.OUTPUT_ROW)
+    assert "2.0/4 = 0.5" in jobs.score_run(questions, again, folder, "m").first().summary
+    assert jobs.resume_state(spark, folder).first().n_done == 3
+
+
+def test_texts_are_measured_once(spark):
+    windows = spark.createDataFrame([("w", "a b c")], "context_window_id string, context_window_text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def measure(text):
+        def count(values):
+            calls.add(len(values))
+            return values.str.split().str.len()
+        return F.pandas_udf(count, "long")(text)
+
+    asked = spark.createDataFrame([("q", "w"), ("r", "w")], "id string, context_window_id string")
+    assert jobs.plan_run(asked, windows, minimum=0, measure=measure).count() == 2
+    assert calls.value == 1
+
+
+@pytest.mark.parametrize("master, fails", [("local[4]", False), ("local", False), ("spark://host:7077", True), ("yarn", True),
+                                           ("local-cluster[2,1,1024]", True)])
+def test_shared_folder_is_required_on_a_cluster(monkeypatch, master, fails):
+    from types import SimpleNamespace as Space
+    from unittest.mock import MagicMock
+
+    from episodia import session
+
+    context = MagicMock(master=master, applicationId="app")
+    context._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    unset = Space(conf=Space(get=lambda key, default=None: default), sparkContext=context)
+    if fails:
+        with pytest.raises(ValueError):
+            session.shared_folder(unset)
+    else:
+        assert session.shared_folder(unset) == session.shared_folder(unset)
+    named = Space(conf=Space(get=lambda key, default=None: "s3://bucket/folder"), sparkContext=context)
+    assert session.shared_folder(named) == "s3://bucket/folder"

@@ -9,7 +9,7 @@ import uuid
 import pytest
 
 from episodia.plans import assemble, jobs
-from episodia.sources import dialogue
+from episodia.sources import dialogue, results
 
 CHARACTERS = ["Grog", "Pike", "Vex", "DM", "Others"]
 
@@ -49,8 +49,9 @@ def test_questions_from_files(spark, files, tmp_path):
     questions, missing = jobs.prepare_questions(spark, f"{files}/stats", transcripts, out)
     assert sorted(map(tuple, missing.collect())) == [("campaign1", 6), ("campaign2", 6)]
 
-    lines = [json.loads(x.value) | {"split": x.split} for x in
-             spark.read.option("basePath", out).text(out).select("value", "split").collect()]
+    asked, windows = results.read_question_set(spark, out)
+    texts = {x.context_window_id: x.context_window_text for x in results.whole_texts(windows).collect()}
+    lines = [x.asDict() | {"context_window_text": texts[x.context_window_id]} for x in asked.collect()]
     assert {x["split"] for x in lines} == {"test", "validation"}
     assert all(set(x) - {"split"} == {"id", "context_window_id", "context_window_text", "question", "answer",
                                       "question_type", "episodes", "campaign"} for x in lines)
@@ -106,3 +107,78 @@ def test_transcript_job_reports_strangers(spark, tmp_path):
     assert [x.stem for x in rejects.collect()] == ["Z1"]
     got = dialogue.read_written_transcripts(spark, str(tmp_path / "out")).select("campaign", "text").collect()
     assert [tuple(x) for x in got] == [("campaign1", "Sam: a b\n")]
+
+
+def test_long_windows_survive_files_and_plans(spark, files, tmp_path):
+    """The same questions and whole texts, whatever the size of a part."""
+    def run(chars: int):
+        transcripts = dialogue.read_transcripts(spark, f"{files}/texts/campaign1", "campaign1", chars).unionByName(
+            dialogue.read_transcripts(spark, f"{files}/texts/campaign2", "campaign2", chars))
+        out = str(tmp_path / f"qa{chars}")
+        jobs.prepare_questions(spark, f"{files}/stats", transcripts, out, part_chars=chars, toy=True)
+        asked, windows = results.read_question_set(spark, out, "test")
+        plan = jobs.plan_run(asked, windows, minimum=0)
+        sent = jobs.request_table(plan, windows)
+        return (sorted((x.id, x.context_len) for x in plan.collect()), windows.where("parts > 1").count(),
+                sorted((x.id, x.messages[0].content[1].text) for x in sent.collect()))
+
+    whole, none, full = run(1 << 24)
+    cut, some, same = run(30)
+    assert none == 0 and some > 0 and whole == cut and full == same
+    assert len({i for i, _ in whole}) == len(whole)
+
+
+def test_exports_cut_into_rows_are_split_whole(spark):
+    rows = spark.createDataFrame(
+        [(q, "w", part, text) for q in ("a", "b") for part, text in ((1, "one\n"), (2, "two"))] + [("c", "v", None, "x")],
+        "id string, context_window_id string, part bigint, context_window_text string")
+    asked, windows = jobs.split_texts(rows)
+    assert sorted(x.id for x in asked.collect()) == ["a", "b", "c"]
+    assert {tuple(x) for x in results.whole_texts(windows).collect()} == {("w", "one\ntwo"), ("v", "x")}
+
+
+def test_one_log_file_per_episode(spark, files, tmp_path):
+    """Per-episode files, some with one more column, give the questions of the merged log."""
+    import shutil
+
+    from episodia.functions import fixed_values as fixed
+    from episodia.sources.logs import ROLL_COLUMNS, read_episode_files, read_rolls
+
+    merged = f"{files}/stats/campaign1/rolls.tsv"
+    head, *rows = open(merged).read().splitlines()
+    folder = tmp_path / "stats" / "campaign1"
+    (folder / "rolls").mkdir(parents=True)
+    for n in range(1, 7):
+        extra = "x\t" if n >= 4 else ""
+        own = [extra + r.split("\t", 1)[1] for r in rows if r.startswith(f"{n}\t")]
+        (folder / "rolls" / f"All Rolls-{n:03d}.tsv").write_text("\n".join([extra + head.split("\t", 1)[1], *own]) + "\n")
+    got = read_episode_files(spark, str(folder / "rolls"), "campaign1", ROLL_COLUMNS, extra_column=(4, 6)).collect()
+    want = read_rolls(spark, merged, "campaign1").collect()
+    key = lambda rs: [tuple(r[c] for c in r.asDict() if c != "seq") for r in sorted(rs, key=lambda r: r.seq)]
+    assert key(got) == key(want) and len({r.seq for r in got}) == len(got)
+    assert fixed.EXTRA_COLUMN_EPISODES == (20, 46)
+    shutil.rmtree(folder)
+
+
+def test_order_over_files_and_splits(spark, tmp_path):
+    from episodia.sources.logs import _read_tsv
+
+    path = tmp_path / "log"
+    path.mkdir()
+    wide = "y" * 400
+    for f in range(6):
+        (path / f"p{f}.tsv").write_text("n\tx\n" + "".join(f"{f * 1000 + i}\t{wide}\n" for i in range(1000)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, str(1 << 16))
+        rows = _read_tsv(spark, str(path), ("n", "x"))
+        assert rows.rdd.getNumPartitions() > 6
+        got = sorted(rows.select("seq", "n").collect())
+        assert [int(r.n) for r in got] == list(range(6000)) and len({r.seq for r in got}) == 6000
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        with pytest.raises(ValueError):
+            _read_tsv(spark, str(path), ("n", "x"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
