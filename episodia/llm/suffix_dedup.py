@@ -22,7 +22,8 @@ WINDOW = 400
 GRAM = 64
 SEGMENT = 1 << 19  # window starts handled at once in a very long text
 SHALLOW = 32  # bytes ordered by multikey partitioning before blind tries
-CLASSES = 64  # different surroundings of one gram that a task sorts; beyond it single windows are counted
+CLASSES = 256  # different surroundings of one gram that a task sorts; beyond it they are dealt out by finer grams
+SLICES = (16, 1)  # offsets per slice of such a group, step by step
 
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -214,16 +215,14 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], window: int) ->
     """
     left = prefix_table([c[:o][::-1] for c, o in zip(contexts, offsets)])
     right = prefix_table([c[o:] for c, o in zip(contexts, offsets)])
+    fits = left + right >= window
+    np.fill_diagonal(fits, False)
     out = []
     for i, o in enumerate(offsets):
-        runs = []
-        for j in range(len(contexts)):
-            if j != i and left[i, j] + right[i, j] >= window:
-                lo, hi = o - left[i, j], o + right[i, j] - window
-                lo, hi = max(int(lo), 0), min(int(hi), len(contexts[i]) - window, o)
-                if lo <= hi:
-                    runs.append((lo, hi))
-        out.append(sorted(set(runs)))
+        at = np.flatnonzero(fits[i])
+        lo = np.maximum(o - left[i, at], 0)
+        hi = np.minimum(o + right[i, at] - window, min(len(contexts[i]) - window, o))
+        out.append(sorted({(x, y) for x, y in zip(lo.tolist(), hi.tolist()) if x <= y}))
     return out
 
 
@@ -308,29 +307,69 @@ def sorted_groups(held: DataFrame, window: int) -> DataFrame:
             .sortWithinPartitions("key").mapInPandas(rows, "row long, start long, end long"))
 
 
-def counted_windows(held: DataFrame, window: int) -> DataFrame:
-    """(row, start, end) of repeated windows of grams with very many surroundings.
+def sliced(held: DataFrame, window: int, width: int) -> DataFrame:
+    """The windows of large groups in slices of ``width`` offsets from the anchor, as finer grams.
 
-    Such a group fits no task, so its windows are told apart by 128-bit hashes and counted, in parts before the
-    shuffle; a common window is then one row of each task.
+    A slice's gram is the part that all its windows share, so equal windows at the same offset have equal grams; and
+    a slice whose gram occurs once is done with. The last width is 1, where a gram is a whole window.
     """
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
+        names = ["row", "at", "first", "last", "key", "held"]
         for batch in batches:
-            for start in range(0, len(batch), 2000):
+            for begin in range(0, len(batch), 500):
                 out = []
-                part = batch.iloc[start:start + 2000]
-                for row, first, single, text in zip(part["row"], part["first"], part["single"], part["context"]):
+                part = batch.iloc[begin:begin + 500]
+                for row, at, first, last, key, text in zip(*(part[c] for c in (*names[:5], "context"))):
                     view = memoryview(text)
-                    out += [(digest(view[i:i + window]), row, first + i, single) for i in range(len(text) - window + 1)]
-                yield pd.DataFrame(out, columns=["bytes", "row", "start", "single"])
-
-    windows = materialize(held.select("row", "first", "single", "context").mapInPandas(
-        rows, "bytes binary, row long, start long, single boolean"))
-    often = windows.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bytes")
-    return windows.where("single").join(often, "bytes").select("row", "start", (F.col("start") + window).alias("end"))
+                    for s in range((at - last) // width, (at - first) // width + 1):
+                        near, far = s * width, s * width + width - 1
+                        start, end = max(at - far, first), min(at - near, last)
+                        gram = digest(view[at - near - first:at - far + window - first], (key + s) % 2**64)
+                        out.append((row, at, start, end, gram, digest(view[start - first:end + window - first], 1)))
+                frame = pd.DataFrame(out, columns=names)
+                for c in ("key", "held"):
+                    frame[c] = frame[c].astype("uint64").astype("int64")
+                yield frame
+
+    return held.select("row", "at", "first", "last", "key", "context").mapInPandas(
+        rows, "row long, at long, first long, last long, key long, held long")
+
+
+def inner_contexts(outer: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+    """The bytes of slices, from the surroundings they were cut from."""
+    source = outer.select("row", "at", F.col("first").alias("_first"), F.col("last").alias("_last"),
+                          F.col("context").alias("_context"))
+    within = chosen.join(source, ["row", "at"]).where("first >= _first and last <= _last")
+    cut = F.substring("_context", (F.col("first") - F.col("_first") + 1).cast("int"),
+                      (F.col("last") - F.col("first") + window).cast("int"))
+    return within.withColumn("context", cut).drop("_first", "_last", "_context")
+
+
+def repeated_spans(found: DataFrame, cut, window: int, classes: int, slices: tuple[int, ...]) -> DataFrame:
+    """(row, start, end) of all repeated windows among the runs ``found`` (row, at, first, last, key, held).
+
+    ``cut`` gives chosen runs their bytes.
+    """
+    often = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("held").alias("lo"), F.max("held").alias("hi"))
+             .where("n > 1").select("key", (F.col("lo") == F.col("hi")).alias("alike")))
+    shared = materialize(found.join(often, "key"))
+    kinds = materialize(shared.where("not alike").groupBy("key", "held").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("x")))
+    per_gram = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("least = 1")
+    held = materialize(cut(kinds.join(per_gram, "key").select("key", "kinds", (F.col("n") == 1).alias("single"), "x.*")))
+    twice = shared.where("not alike").join(kinds.where("n > 1").select("key", "held"), ["key", "held"])
+    whole = (shared.where("alike").select("row", "first", "last").unionByName(twice.select("row", "first", "last"))
+             .select("row", F.col("first").alias("start"), (F.col("last") + window).alias("end")))
+    spans = whole.unionByName(sorted_groups(held.where(F.col("kinds") <= classes), window))
+    large = held.where(F.col("kinds") > classes)
+    if not slices or large.isEmpty():
+        return spans
+    finer = materialize(sliced(large, window, slices[0]))
+    return spans.unionByName(repeated_spans(
+        finer, lambda chosen: inner_contexts(large, chosen, window), window, classes, slices[1:]))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, classes: int = CLASSES) -> DataFrame:
@@ -339,26 +378,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, clas
     A byte goes if a string of ``window`` bytes that covers it also starts at another place of any text. Grams that
     occur once are dropped by their hashes. An anchor whose whole surroundings occur twice is removed with all its
     windows; where surroundings differ, one of each kind meets the others of its gram and is sorted both ways from
-    the anchor. Copies so count once, however many there are. A null text is empty; repeated rows repeat each other,
+    the anchor. Copies so count once, however many there are. More than ``classes`` kinds of one gram fit no task:
+    they are dealt out by the finer grams of their slices, and again. A null text is empty; repeated rows repeat each other,
     so both lose what they share; texts shorter than ``window`` stay whole.
     """
     base = materialize(anchored(docs.select("doc_id", "text"), window, gram))
     found = base.select("row", F.explode(F.arrays_zip("at", "first", "last", "key", "held")).alias("x")).select("row", "x.*")
-    often = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("held").alias("lo"), F.max("held").alias("hi"))
-             .where("n > 1").select("key", (F.col("lo") == F.col("hi")).alias("alike")))
-    shared = materialize(found.join(often, "key"))
-    kinds = materialize(shared.where("not alike").groupBy("key", "held").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("x")))
-    per_gram = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("least = 1")
-    chosen = (kinds.join(per_gram, "key")
-              .select("key", "kinds", (F.col("n") == 1).alias("single"), "x.*"))
-    held = materialize(contexts(base, chosen, window))
-
-    whole = shared.where("alike").select("row", "first", "last").unionByName(
-        shared.where("not alike").join(kinds.where("n > 1").select("key", "held"), ["key", "held"])
-        .select("row", "first", "last")).select("row", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
-    spans = (whole.unionByName(sorted_groups(held.where(F.col("kinds") <= classes), window))
-             .unionByName(counted_windows(held.where(F.col("kinds") > classes), window)))
+    spans = repeated_spans(found, lambda chosen: contexts(base, chosen, window), window, classes, SLICES)
     per_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text only
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
