@@ -603,7 +603,7 @@ ORACLES["log_files_edges"] = sql(
     "natural_value FROM roll_log) GROUP BY 1, 2", "roll_log")
 ORACLES["question_set_files"] = sql(
     "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS n, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5, "
-    "CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS context_len FROM documents")
+    f"{LEN} AS context_len FROM documents")
 # an id has an output twice or none; empty ones with a reason count as filtered, others stay open
 ORACLES["score_run_summary"] = sql(
     "SELECT concat('Overall score for m1 on ', n, ' examples: ', correct, '/', n, ' = ', score) AS summary "

@@ -468,7 +468,7 @@ def _(spark, d):
         table(spark, d, "labels").select("doc_id", F.concat(
             F.lit("quality "), F.col("quality").cast("string"),
             F.lit(" toxic "), F.col("toxic").cast("string")).alias("label")), "doc_id")
-    counts = labelled.groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(labelled.groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n")))
     following = F.lead("label").over(Window.partitionBy("lang").orderBy("label"))
     asked = counts.select("lang", F.col("label").alias("label_a"), following.alias("label_b")).where(
         "label_b is not null")

@@ -61,9 +61,10 @@ def listing(value: str, order: str, sep: str = ", ") -> Column:
 
 
 def _ties(counts: DataFrame, by: Sequence[str], key: str, extreme: Column, order: str) -> DataFrame:
-    # The window runs over one row per distinct value, never over log rows.
-    best = counts.withColumn("best", extreme.over(Window.partitionBy(*by)))
-    return best.where("n = best").groupBy(*by).agg(listing(key, order).alias("answer"))
+    # the extreme is met in partial aggregates and joined back, so no task sees all values of a large group
+    best = counts.groupBy(*by).agg(extreme.alias("best"))
+    tied = counts.join(best, list(by)).where("n = best")
+    return tied.groupBy(*by).agg(listing(key, order).alias("answer"))
 
 
 def most_common(cells: DataFrame, by: Sequence[str], key: str) -> DataFrame:

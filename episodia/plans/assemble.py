@@ -224,10 +224,10 @@ def listed_answers(facts: DataFrame, by_episode: DataFrame, edges: DataFrame, pa
         return F.when(condition, name)
 
     nothing = F.lit("")
-    # most and least common, over one row per distinct value
-    group = Window.partitionBy(*KEY, "fact")
-    ranked = facts.where("fact in ('roll_type', 'roll_value', 'spell')").withColumns(
-        {"most": F.max("n").over(group), "least": F.min("n").over(group)})
+    # most and least common: the extremes meet in partial aggregates and join back
+    valued = facts.where("fact in ('roll_type', 'roll_value', 'spell')")
+    extremes = valued.groupBy(*KEY, "fact").agg(F.max("n").alias("most"), F.min("n").alias("least"))
+    ranked = valued.join(extremes, [*KEY, "fact"])
     ties = rows(
         ranked, nothing,
         item(F.when(F.col("n") == F.col("most"), F.concat("fact", F.lit("_mode"))), "v1", F.col("v1")),
