@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fixed
 from ..functions.text import capitalise
-from ..operators.ordered import running_totals, seq_levels
 from ..operators.tallies import EPISODE, listing
 from .logs import in_file_order
 
@@ -21,6 +20,7 @@ DIALOGUE = T.StructType([T.StructField("TURNS", T.ArrayType(TURN))])
 # A line's order number: turn in the high bits, place of the name in its turn in the low ones.
 NAME_BITS = 16
 PART_CHARS = 1 << 24
+LINE_CHARS = 256
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
@@ -60,18 +60,16 @@ def transcript_lines(turns: DataFrame) -> DataFrame:
         F.concat(capitalise(F.col("name")), F.lit(": "), text).alias("line"))
 
 
-def text_chunks(lines: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+def text_chunks(lines: DataFrame, part_chars: int = PART_CHARS, step: int = 1 << NAME_BITS) -> DataFrame:
     """Transcript texts, every line ended by a line break, in chunks of about ``part_chars`` characters.
 
-    ``chunk`` counts from 0; ordinary episodes have one. A chunk is one text value, so its size is
-    bounded whatever the length of an episode.
+    A chunk is a run of so many lines of usual length, told by their order numbers, which are ``step`` apart from
+    turn to turn. So a line knows its chunk, the text crosses one shuffle, and a chunk's lines are bounded whatever
+    the length of an episode. ``chunk`` grows along the episode; ordinary ones have one.
     """
-    sized = lines.select(*EPISODE, "seq", "line")
-    length = (F.length("line") + 1).cast("bigint")
-    levels = seq_levels("seq", fine=1 << (NAME_BITS + 12), coarse=1 << (NAME_BITS + 24))
-    placed = running_totals(sized, {"upto": length}, EPISODE, levels, [F.col("seq")])
-    chunk = F.floor((F.col("upto") - 1) / F.lit(part_chars)).cast("bigint")
-    broken = placed.withColumn("chunk", chunk).withColumn("line", F.concat("line", F.lit("\n")))
+    lines_of_chunk = max(1, part_chars // LINE_CHARS)
+    chunk = F.floor(F.col("seq") / F.lit(lines_of_chunk * step)).cast("bigint")
+    broken = lines.select(*EPISODE, "seq", chunk.alias("chunk"), F.concat("line", F.lit("\n")).alias("line"))
     return broken.groupBy(*EPISODE, "chunk").agg(
         F.sum(F.length("line")).cast("bigint").alias("chars"), listing("line", "seq", "").alias("text"))
 
@@ -90,7 +88,7 @@ def read_transcript_lines(spark: SparkSession, path: str, campaign: str) -> Data
 
 def read_transcripts(spark: SparkSession, path: str, campaign: str, part_chars: int = PART_CHARS) -> DataFrame:
     """Transcript files as texts in chunks of bounded size, one for ordinary files; every line ends with a break."""
-    return text_chunks(read_transcript_lines(spark, path, campaign), part_chars)
+    return text_chunks(read_transcript_lines(spark, path, campaign), part_chars, step=1)
 
 
 def write_transcripts(lines: DataFrame, path: str, part_chars: int = PART_CHARS) -> None:
