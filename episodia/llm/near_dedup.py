@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ CHUNKS = 8  # a signature is split into so many parts
 ERRORS = 1  # differing values looked up within a part
 #: by pigeonhole, two signatures that differ in at most so many places have a part with at most ERRORS differences
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-BLOCK = 256  # members of a bucket that are compared in one cell, at most twice as many
+BLOCK = 2048  # members of a bucket that make a block; two blocks meet in a cell, so a cell has twice as many at most
 KEEP = 800_000  # words whose hashes a worker remembers
 
 
@@ -169,46 +170,126 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             .select("a", "b", "text_a", "key_a", "text_b", "key_b").mapInPandas(rows, "a long, b long").distinct())
 
 
-def cross_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members in different components within the signature distance.
+def near_in_cells(starts: np.ndarray, sizes: np.ndarray, component: np.ndarray, n: np.ndarray, signatures: np.ndarray,
+                  percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) within the distance and of different components, of cells that are runs of rows.
 
-    ``rest`` has key, node, component, n_shingles, signature and the bucket's size. A large bucket is dealt into
-    cells: its members into blocks, and a cell for every two blocks, so no task meets a whole bucket.
+    Cells of one size go together.
+    """
+    for size in np.unique(sizes[sizes > 1]):
+        of_size = starts[sizes == size]
+        step = max(1, (1 << 19) // int(size * size))
+        upper = np.triu(np.ones((size, size), dtype=bool), 1)
+        for begin in range(0, len(of_size), step):
+            at = of_size[begin:begin + step, None] + np.arange(size)
+            differ = np.zeros((len(at), size, size), dtype=np.uint8)
+            for k in range(POSITIONS):
+                value = signatures[at, k]
+                differ += value[:, :, None] != value[:, None, :]
+            c = component[at]
+            which, i, j = np.nonzero((differ <= DISTANCE) & upper & (c[:, :, None] != c[:, None, :]))
+            i, j = at[which, i], at[which, j]
+            fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            yield i[fit], j[fit]
+
+
+class Linker:
+    """Links between components, confirmed on full sets; a task remembers which components it has joined."""
+
+    def __init__(self, width: int, percent: int):
+        import zstandard
+
+        self.width, self.percent = width, percent
+        self.unpack = zstandard.ZstdDecompressor().decompress
+        self.joined: dict[int, int] = {}
+        self.sets: dict[int, np.ndarray] = {}
+
+    def root(self, component: int) -> int:
+        while component in self.joined:
+            component = self.joined[component]
+        return component
+
+    def set_of(self, node: int, packed: bytes, key: bytes) -> np.ndarray:
+        import xxhash
+
+        if node not in self.sets:
+            if len(self.sets) > 4096:
+                self.sets.clear()
+            held = shingle_set(self.unpack(packed), self.width)
+            if xxhash.xxh3_128_digest(held.tobytes()) != key:  # another row of that doc_id
+                held = np.empty(0, dtype=np.uint64)
+            self.sets[node] = held
+        return self.sets[node]
+
+    def links(self, frame: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(larger, smaller node) of pairs that join two components which nothing joined before."""
+        node, component, packed, key = (frame[c].tolist() for c in ("node", "component", "packed", "set_key"))
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(i)]):
+            a = int(i[begin])
+            for at in range(begin, end, 64):
+                others = [b for b in j[at:min(end, at + 64)].tolist()
+                          if self.root(component[b]) != self.root(component[a])]
+                if not others:
+                    continue
+                x = self.set_of(node[a], packed[a], key[a])
+                held = [self.set_of(node[b], packed[b], key[b]) for b in others]
+                sizes = np.array([len(y) for y in held])
+                if not len(x) or not sizes.all():
+                    held, others = [y for y in held if len(x) and len(y)], [b for b, n in zip(others, sizes) if len(x) and n]
+                    sizes = np.array([len(y) for y in held])
+                    if not held:
+                        continue
+                every = np.concatenate(held)
+                hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+                common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                for b in np.flatnonzero(100 * common >= self.percent * (len(x) + sizes - common)).tolist():
+                    r, s = self.root(component[a]), self.root(component[others[b]])
+                    if r != s:
+                        self.joined[max(r, s)] = min(r, s)
+                        yield max(node[a], node[others[b]]), min(node[a], node[others[b]])
+
+
+def cross_links(rest: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between bucket members in different components, enough to join what belongs together.
+
+    ``rest`` has key, node, component, n_shingles, signature, set_key, packed and the bucket's size. A large bucket
+    is dealt into cells: its members into blocks, and a cell for every two blocks, so no task meets a whole bucket.
+    Pairs within the signature distance are found and confirmed inside the cell; only links leave it.
     """
     blocks = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    cells = (rest.withColumn("own", own)
+    columns = ["cell", "node", "component", "n_shingles", "signature", "set_key", "packed"]
+    cells = (rest.withColumn("own", F.pmod(F.xxhash64("node"), blocks))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
              .withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-             .select("cell", "key", "node", "component", "n_shingles", "signature"))
+             .select(*columns))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, linker = None, Linker(width, percent)
 
-        def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            cell = frame["cell"].to_numpy()
-            node, component, n = (frame[c].to_numpy() for c in ("node", "component", "n_shingles"))
-            s = np.frombuffer(b"".join(frame["signature"]), dtype="<u2").reshape(len(frame), POSITIONS)
+        def found(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.reset_index(drop=True)
+            cell, component, n = (frame[c].to_numpy() for c in ("cell", "component", "n_shingles"))
+            signatures = np.frombuffer(b"".join(frame["signature"]), dtype="<u2").reshape(len(frame), POSITIONS)
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            for start, end in zip(starts, [*starts[1:], len(cell)]):
-                for i in range(start, end - 1):
-                    at = np.arange(i + 1, end)
-                    at = at[(component[at] != component[i]) & (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))]
-                    at = at[(s[at] != s[i]).sum(axis=1) <= DISTANCE]
-                    out += [(max(node[i], node[j]), min(node[i], node[j])) for j in at]
-            return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            sizes = np.diff(np.r_[starts, len(cell)])
+            out = [link for i, j in near_in_cells(starts, sizes, component, n, signatures, percent)
+                   for link in linker.links(frame, i, j)]
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            whole = held["cell"] != held["cell"].iloc[-1] if len(held) else []
-            if len(held) and whole.any():
-                yield pairs(held[whole])
-                held = held[~whole]
+            if len(held):
+                whole = (held["cell"] != held["cell"].iloc[-1]).to_numpy()
+                if whole.any():
+                    yield found(held[whole])
+                    held = held[~whole]
         if held is not None and len(held):
-            yield pairs(held)
+            yield found(held)
 
-    return (cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(rows, "a long, b long").distinct())
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(rows, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -218,7 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out put every two signatures within ``DISTANCE`` into a common bucket. First each member of a bucket is held
     against the bucket's smallest node; where members then still lie in different components, all of those pairs
     within the distance follow, cell by cell. Links are confirmed on the full sets of whole texts. A group of
-    near copies so costs about one comparison a member, and no link between components is left out.
+    near copies so makes about one row a member, and no link between components is left out.
 
     A null or empty text has an empty set and no links. Rows with one doc_id are one document; a row without
     doc_id has no component and is kept. ``docs`` needs integer doc_id and text.
@@ -244,11 +325,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
               .withColumn("component", F.coalesce("component", "node")))
     mixed = (placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
              .where("least <> most").select("key"))
-    rest = placed.join(mixed, "key").join(nodes.select("node", "n_shingles", "signature"), "node")
-    more = materialize(cross_pairs(rest.select("key", "node", "component", "n_shingles", "signature", "size"), percent))
+    rest = placed.join(mixed, "key").join(nodes.select("node", "n_shingles", "signature"), "node").join(texts, "node")
+    more = materialize(cross_links(rest, width, percent))
     if not more.isEmpty():
-        edges = materialize(edges.union(confirmed(more, texts, width, percent)))
-        first = components(edges)
+        first = components(first.toDF("a", "b").union(more))
 
     of_class = nodes.select("set_key", "node").join(first, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("linked"))
