@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, shared_folder
 
 __all__ = ["SPACE", "WORD", "let", "literal_table", "materialize", "read_table", "remainder",
-           "shared_folder", "ship", "text_bytes"]
+           "shared_folder", "ship", "text_bytes", "worker_cache"]
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,17 @@ def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+_HELD: dict = {}
+
+
+def worker_cache(owner: object, make: Callable[[], object]):
+    """What a Python worker remembers between batches and tasks; another owner's memory goes first."""
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python, once per application, as ``--py-files`` would."""
     context = spark.sparkContext

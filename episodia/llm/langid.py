@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, remainder
+from .common import materialize, remainder, worker_cache
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"  # what the vocabulary puts before a word
@@ -237,9 +237,6 @@ def fit(docs: DataFrame, learnable: Column, vocabulary_path: str | None = None,
     return Model(pieces, languages, table)
 
 
-_SCORERS: dict[bytes, WordScorer] = {}
-
-
 def identify(docs: DataFrame, model: Model, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with two more columns, from each whole text alone.
 
@@ -249,11 +246,9 @@ def identify(docs: DataFrame, model: Model, lang_pred: str = "lang_pred", score:
     key = model.table[:: max(1, len(model.table) // 997)].tobytes()
 
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = model.scorer()
+        scorer = worker_cache(("languages", key), model.scorer)
         for batch in batches:
-            yield pd.DataFrame(list(_SCORERS[key].predict(batch.tolist())), columns=["lang", "share"])
+            yield pd.DataFrame(list(scorer.predict(batch.tolist())), columns=["lang", "share"])
 
     # not deterministic for the optimizer only, so that a filter does not run it again
     found = F.pandas_udf(predicted, "lang string, share double").asNondeterministic()

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remainder, text_bytes
+from .common import materialize, remainder, text_bytes, worker_cache
 
 END = b"\n"  # the end of a text; no word holds white space
 FREQUENT = 200_000  # most words with an id of their own; bounds what tasks are sent, the rest goes through a join
@@ -23,8 +23,6 @@ BATCH = 4096  # tokens per gradient step
 RATE = 0.35
 FLUSH = 250_000  # distinct words after which a task hands its counts on
 
-_DICTIONARIES: dict[int, dict[bytes, int]] = {}
-
 
 def tokens(text: str | None) -> list[bytes]:
     """Words of the text with A-Z in lower case, and the end."""
@@ -74,14 +72,15 @@ class Lexicon:
         self.key = hash((size, total, distinct, self.words[:100_000]))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        if self.key not in _DICTIONARIES:
-            own = self.words.split(END) if self.rare_id else []
-            if self.end_id >= 0:  # the separator as a word has left two empty strings
-                del own[self.end_id]
-                own[self.end_id] = END
-            _DICTIONARIES.clear()
-            _DICTIONARIES[self.key] = {w: i for i, w in enumerate(own)}
-        return np.fromiter(map(_DICTIONARIES[self.key].get, words, repeat(self.rare_id)), np.int64, len(words))
+        held = worker_cache(("words", self.key), self.dictionary)
+        return np.fromiter(map(held.get, words, repeat(self.rare_id)), np.int64, len(words))
+
+    def dictionary(self) -> dict[bytes, int]:
+        own = self.words.split(END) if self.rare_id else []
+        if self.end_id >= 0:  # the separator as a word has left two empty strings
+            del own[self.end_id]
+            own[self.end_id] = END
+        return {w: i for i, w in enumerate(own)}
 
 
 def frequent_words(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, text_bytes, worker_cache
 from .graph import components
 
 POSITIONS = 32  # b-bit values per signature
@@ -19,7 +19,7 @@ ERRORS = 1  # differing values looked up within a part
 #: by pigeonhole, two signatures that differ in at most so many places have a part with at most ERRORS differences
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 BLOCK = 2048  # members of a bucket that make a block; two blocks meet in a cell, so a cell has twice as many at most
-KEEP = 800_000  # words whose hashes a worker remembers
+KEEP = 500_000  # words whose hashes a worker remembers
 
 
 
@@ -31,9 +31,6 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -45,9 +42,10 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     words = text.lower().split()  # both work on ASCII bytes only
     if not words:
         return np.empty(0, dtype=np.uint64)
-    if len(_HASHES) > KEEP:
-        _HASHES.clear()
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    hashes = worker_cache("shingles", _Hashes)
+    if len(hashes) > KEEP:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     n = max(1, len(h) - width + 1)
     total = np.full(n, len(h) if len(h) < width else width, dtype=np.uint64)
     with np.errstate(over="ignore"):

@@ -8,12 +8,11 @@ import sys
 from array import array
 from collections.abc import Iterator
 
-from .common import text_bytes
+from .common import text_bytes, worker_cache
 
 MARKS = b".,;:!?|"
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 KEEP = 1_000_000  # chunks whose ids a worker remembers; beyond it starts anew
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
 assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are kept as little-endian 32-bit words"
@@ -75,6 +74,4 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def chunk_tokenizer(path: str | None) -> ChunkTokenizer:
     """The worker's own tokenizer of that file, kept between tasks."""
     path = str(path or tokenizer_path())
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
-    return _TOKENIZERS[path]
+    return worker_cache(("tokens", path), lambda: ChunkTokenizer(path))
