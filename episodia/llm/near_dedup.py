@@ -22,7 +22,6 @@ BLOCK = 2048  # members of a bucket that make a block; two blocks meet in a cell
 KEEP = 500_000  # words whose hashes a worker remembers
 
 
-
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
