@@ -44,7 +44,9 @@ CTES["window_list"] = (
     "FROM windows GROUP BY window_key, campaign")
 CTES["lines"] = (
     "SELECT campaign, episode, seq * 65536 AS seq, name, utterance, "
-    "concat(upper(name[1]), lower(name[2:]), ': ', utterance) AS line FROM turns")
+    "concat(upper(name[1]), lower(name[2:]), ': ', utterance) AS line FROM turns "
+    "UNION ALL SELECT campaign, episode, seq * 65536 + 1, 'GUEST', utterance, concat('Guest: ', utterance) FROM turns "
+    "WHERE seq % 3 = 1")  # a turn of two names
 
 NEEDS = {
     "windows": ["roll_log"], "members": ["windows"], "players": ["player_rows"],
