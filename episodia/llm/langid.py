@@ -18,6 +18,7 @@ LONGEST_PIECE = 16
 LONGEST_WORD = 64  # longer runs of letters are scored in parts of this length
 TRAIN_DOCS = 500  # documents per language that the models are fitted on
 ROUNDS = 3  # of expectation maximisation
+FIT_TASKS = 16  # over which a round of it is spread
 SMOOTHING = 0.01
 UNKNOWN = 1e-4  # probability of a character that no piece of the vocabulary spells
 KEEP = 600_000  # words whose scores a worker remembers
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, learnable: Column, vocabulary_path: str | None = None,
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "word", "n"])
 
     words = materialize(sample.mapInPandas(counted, "lang string, word string, n long")
-                        .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+                        .groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(FIT_TASKS, "word"))
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     column = {lang: i for i, lang in enumerate(languages)}
     # one row for unknown characters and one of zeros follow the pieces
