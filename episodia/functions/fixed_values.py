@@ -39,6 +39,7 @@ PROBES_TOY = 1
 # --- campaigns -----------------------------------------------------------------------------------
 CAMPAIGN_BY_PREFIX = {"C1": "campaign1", "C2": "campaign2"}
 SPLIT_BY_CAMPAIGN = {"campaign1": "test", "campaign2": "validation"}
+EXTRA_COLUMN_CAMPAIGN = "campaign2"
 EXTRA_COLUMN_EPISODES = (20, 46)
 
 # --- evaluation ----------------------------------------------------------------------------------

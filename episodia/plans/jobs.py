@@ -13,7 +13,7 @@ from ..functions.text import word_count
 from ..operators.windows import episodes_of, without_transcript
 from ..sources import dialogue, results
 from ..session import materialize
-from ..sources.logs import ROLL_COLUMNS, SPELL_COLUMNS, read_episode_files, read_players, read_rolls, read_spells
+from ..sources.logs import SPELL_COLUMNS, read_episode_files, read_players, read_rolls, read_spells
 from . import evaluation as ev
 from . import scoring
 from .assemble import KEY, QuestionSet, build_questions, context_texts, player_prompt
@@ -36,12 +36,16 @@ def _each_campaign(campaigns: Sequence[str], read) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, stats_dir: str, campaign: str, by_episode: bool) -> tuple[DataFrame, DataFrame]:
-    """Roll and spell log of a campaign: a merged file each, or a folder each with one file per episode."""
+    """Roll and spell log of a campaign; ``by_episode`` takes the spells from one file per episode.
+
+    Some of the spell files have one more leading column, which is cut.
+    """
     folder = f"{stats_dir}/{campaign}"
+    rolls = read_rolls(spark, f"{folder}/rolls.tsv", campaign)
     if not by_episode:
-        return read_rolls(spark, f"{folder}/rolls.tsv", campaign), read_spells(spark, f"{folder}/spells.tsv", campaign)
-    return (read_episode_files(spark, f"{folder}/rolls", campaign, ROLL_COLUMNS, extra_column=fixed.EXTRA_COLUMN_EPISODES),
-            read_episode_files(spark, f"{folder}/spells", campaign, SPELL_COLUMNS))
+        return rolls, read_spells(spark, f"{folder}/spells.tsv", campaign)
+    extra = fixed.EXTRA_COLUMN_EPISODES if campaign == fixed.EXTRA_COLUMN_CAMPAIGN else None
+    return rolls, read_episode_files(spark, f"{folder}/spells", campaign, SPELL_COLUMNS, extra_column=extra)
 
 
 def prepare_questions(spark: SparkSession, stats_dir: str, transcripts: DataFrame, output_dir: str,
@@ -50,7 +54,7 @@ def prepare_questions(spark: SparkSession, stats_dir: str, transcripts: DataFram
     """Logs and transcripts to a question set: questions by split, and each window's text once, in parts.
 
     ``transcripts`` has ``(campaign, episode, chunk, text)`` as the transcript readers give it; ``by_episode``
-    reads one log file per episode. Returns the question set and the logged episodes without transcript.
+    reads one spell file per episode. Returns the question set and the logged episodes without transcript.
     """
     logs = [read_logs(spark, stats_dir, c, by_episode) for c in campaigns]
     rolls, spells = (_each_campaign(range(len(logs)), lambda i, k=k: logs[i][k]) for k in (0, 1))

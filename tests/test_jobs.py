@@ -182,3 +182,24 @@ def test_order_over_files_and_splits(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_questions_from_spell_files_per_episode(spark, files, tmp_path):
+    """The job gives the same questions from one spell file per episode as from the merged log."""
+    import shutil
+
+    stats = tmp_path / "stats"
+    shutil.copytree(files / "stats", stats)
+    for campaign in ("campaign1", "campaign2"):
+        head, *rows = (stats / campaign / "spells.tsv").read_text().splitlines()
+        (stats / campaign / "spells").mkdir()
+        for n in range(1, 7):
+            own = [r.split("\t", 1)[1] for r in rows if r.startswith(f"{n}\t")]
+            (stats / campaign / "spells" / f"Spells Cast - 2-{n}.tsv").write_text(
+                "\n".join([head.split("\t", 1)[1], *own]) + "\n")
+    transcripts = dialogue.read_transcripts(spark, f"{files}/texts/campaign1", "campaign1").unionByName(
+        dialogue.read_transcripts(spark, f"{files}/texts/campaign2", "campaign2"))
+    found = [{(r.id, r.answer) for r in jobs.prepare_questions(
+        spark, str(root), transcripts, str(tmp_path / f"qa{by}"), toy=True, by_episode=by)[0].rows.collect()}
+        for root, by in ((files / "stats", False), (stats, True))]
+    assert found[0] == found[1] and found[0]
