@@ -55,8 +55,17 @@ def worker_cache(owner: object, make: Callable[[], object]):
     return _HELD[owner]
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, once per application, as ``--py-files`` would."""
+    """Give this package to the executors' Python, once per application, as ``--py-files`` would.
+
+    Batches of the default 10,000 rows are made for short rows; where nothing else is set, whole documents go to
+    Python 1000 at a time.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     context = spark.sparkContext
     if getattr(context, "_episodia_shipped", False):
         return

@@ -21,7 +21,7 @@ ROUNDS = 3  # of expectation maximisation
 FIT_TASKS = 16  # over which a round of it is spread
 SMOOTHING = 0.01
 UNKNOWN = 1e-4  # probability of a character that no piece of the vocabulary spells
-KEEP = 600_000  # words whose scores a worker remembers
+KEEP = 250_000  # words whose scores a worker remembers
 UNDETERMINED = "und"
 
 

@@ -19,7 +19,7 @@ ERRORS = 1  # differing values looked up within a part
 #: by pigeonhole, two signatures that differ in at most so many places have a part with at most ERRORS differences
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 BLOCK = 2048  # members of a bucket that make a block; two blocks meet in a cell, so a cell has twice as many at most
-KEEP = 500_000  # words whose hashes a worker remembers
+KEEP = 250_000  # words whose hashes a worker remembers
 
 
 class _Hashes(dict):

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.ASCII | re.IGNORECASE)
@@ -231,6 +233,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
     formats = Formats(labelled_credentials(docs.select(F.col(text).alias("text"))))
 
     def cleaned(texts: pd.Series) -> pd.Series:
+        worker_cache("secrets", dict)  # nothing to remember, but what others did goes
+
         def clean(value):
             if not value:
                 return value

@@ -12,7 +12,7 @@ from .common import text_bytes, worker_cache
 
 MARKS = b".,;:!?|"
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-KEEP = 1_000_000  # chunks whose ids a worker remembers; beyond it starts anew
+KEEP = 800_000  # chunks whose ids a worker remembers; beyond it starts anew
 
 
 assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are kept as little-endian 32-bit words"
