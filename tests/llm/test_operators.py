@@ -364,6 +364,20 @@ def test_quality_counts_and_ratio(spark, tiny, docs, texts):
         assert r["kept"] == (not r["base_failed"] and llr >= quality.THRESHOLD)
 
 
+def test_quality_cut_parts_the_labels_in_every_language(spark):
+    """Half of the trusted documents are held out; no labelled low-quality document may be kept."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    seen = labels.where((F.col("quality") != 1) | (fold == 0))
+    judged = (quality.quality_rules(docs, seen).where("not base_failed")
+              .join(labels.where((F.col("quality") == 0) | (fold == 1)), "doc_id")
+              .join(docs.select("doc_id", "lang"), "doc_id"))
+    rows = judged.groupBy("lang", "quality").agg(F.count("kept").alias("n"), F.count_if("kept").alias("kept")).collect()
+    assert len({r["lang"] for r in rows}) == 4
+    for r in rows:
+        assert r["kept"] == 0 if r["quality"] == 0 else r["kept"] >= 0.99 * r["n"], r
+
+
 # --- packing ------------------------------------------------------------------------------------------------------------------------
 
 @settings(max_examples=100, deadline=None)
