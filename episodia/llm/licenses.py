@@ -1,4 +1,4 @@
-"""License scans: exact set-similarity join of text blocks with license templates. Column expressions only."""
+"""License scans: exact set-similarity join of text windows with license templates. Column expressions only."""
 
 from __future__ import annotations
 
@@ -37,6 +37,8 @@ TEMPLATES = {
 # ---------------------------------------------------------------------------------------------------------------
 
 CONTAINMENT = 0.8
+STRETCH = 2  # a window has this many times the words of its template
+PIECE = 512  # words of a text that are searched in one row
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # between words, where letters have either case
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -90,37 +92,60 @@ def token_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def contained_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = CONTAINMENT,
-                        block: str = "\n") -> DataFrame:
-    """(doc_id, label, score): templates of which a block of the text holds at least ``threshold`` of the tokens.
+                        stretch: int = STRETCH) -> DataFrame:
+    """(doc_id, label, score): templates of which a window of the text holds at least ``threshold`` of the tokens.
 
-    Blocks are the pieces between ``block``. Tokens are ranked by their frequency in all documents, rarest
-    first. A template of n tokens needs a = ceil(threshold * n) common ones, so one of its first n - a + 1
-    tokens is in every matching block (prefix filter); the block needs a tokens of the vocabulary (length
+    A window is ``stretch`` times as many words as the template has, in a row, whatever the lines. Tokens are
+    ranked by their frequency in all documents, rarest first. A template of n tokens needs a =
+    ceil(threshold * n) common ones, so one of its first n - a + 1 tokens is in every matching window (prefix
+    filter). The words within a window's length of such a token need a tokens of the vocabulary (length
     filter), and the tokens after the matched one must suffice on both sides (positional filter). What passes
-    is compared exactly, so every match is found and nothing else. The templates are parameters, so the prefix
-    index has a bounded size and is broadcast; blocks never meet each other.
+    is compared exactly in every window that holds the matched token, so every match is found and nothing
+    else. The templates are parameters, so the prefix index has a bounded size and is broadcast. Texts are
+    cut into pieces of PIECE words and the windows around them, so rows have a bounded size too.
     """
-    sets = {label: sorted(set(re.findall("[0-9a-z]+", text.lower()))) for label, text in templates.items()}
-    order = token_order(docs, sorted({t for held in sets.values() for t in held}))
+    lists = {label: re.findall("[0-9a-z]+", text.lower()) for label, text in templates.items()}
+    order = token_order(docs, sorted({t for held in lists.values() for t in held}))
     place = {t: i for i, t in enumerate(order)}
     index = []
-    for label, held in sets.items():
-        ranked = sorted(held, key=place.get)
+    for label, held in lists.items():
+        ranked = sorted(set(held), key=place.get)
         needed = math.ceil(threshold * len(ranked) - 1e-9)
-        index += [{"token": t, "label": label, "i": i, "needed": needed, "template": ranked}
-                  for i, t in enumerate(ranked[:len(ranked) - needed + 1])]
+        index += [{"token": t, "label": label, "i": i, "needed": needed, "template": ranked,
+                   "span": stretch * len(held)} for i, t in enumerate(ranked[:len(ranked) - needed + 1])]
     prefix = literal_table(docs.sparkSession, index,
-                           "token string, label string, i int, needed int, template array<string>")
+                           "token string, label string, i int, needed int, template array<string>, span int")
     ranked_vocabulary = F.array(*map(F.lit, order))
-    blocks = docs.select("doc_id", F.explode(F.split("text", block)).alias("line"))
-    probes = blocks.select("doc_id", "line", F.explode(F.array_distinct(F.split(F.lower("line"), GAP))).alias("token"))
-    met = (probes.join(F.broadcast(prefix), "token")
-           .withColumn("held", F.array_intersect(ranked_vocabulary, F.split(lowered(F.col("line")), GAP))))
+    rare = sorted({r["token"] for r in index})
+    reach = max(r["span"] for r in index) - 1
+
+    def pieces(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(PIECE)), lambda at: F.struct(
+            F.least(at, F.lit(reach)).alias("start"),
+            F.slice(words, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)) + PIECE + reach).alias("words")))
+
+    def probed(words: Column, start: Column) -> Column:
+        own = F.sequence(start, F.least(start + PIECE, F.size(words)) - 1)
+        return F.transform(F.filter(own, lambda k: F.get(words, k).isin(rare)), lambda k: F.struct(
+            F.get(words, k).alias("token"), F.least(k, F.lit(reach)).alias("at"),
+            F.slice(words, F.greatest(k - reach, F.lit(0)) + 1, F.least(k, F.lit(reach)) + reach + 1).alias("near")))
+
+    cut = docs.where("text is not null").select(
+        "doc_id", F.explode(let(F.split(lowered(F.col("text")), GAP), pieces)).alias("piece"))
+    probes = cut.select("doc_id", F.explode(probed(F.col("piece.words"), F.col("piece.start"))).alias("probe"))
+    before = F.least(F.col("at"), F.col("span") - 1)
+    met = (probes.select("doc_id", "probe.*").join(F.broadcast(prefix), "token")
+           .withColumn("near", F.slice("near", F.col("at") - before + 1, before + F.col("span")))
+           .withColumn("at", before)
+           .withColumn("held", F.array_intersect(ranked_vocabulary, F.col("near"))))
     n, i, j = F.size("template"), F.col("i"), F.array_position("held", F.col("token")).cast("int") - 1
     possible = F.least(i, j) + 1 + F.least(n - i - 1, F.size("held") - j - 1)
-    overlap = F.size(F.array_intersect("template", "held"))
+    windows = F.transform(F.sequence(F.lit(1), F.col("at") + 1), lambda first: F.size(
+        F.array_intersect("template", F.slice("near", first, F.col("span")))))
     return (met.where(F.size("held") >= F.col("needed")).where(possible >= F.col("needed"))
-            .where(overlap >= F.col("needed")).select("doc_id", "label", (overlap / n).alias("score")))
+            .where(F.size(F.array_intersect("template", "near")) >= F.col("needed"))
+            .select("doc_id", "label", "needed", n.alias("n"), F.array_max(windows).alias("overlap"))
+            .where("overlap >= needed").select("doc_id", "label", (F.col("overlap") / F.col("n")).alias("score")))
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES,
@@ -128,7 +153,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     """Per row the places of the phrases, and labels of phrases and of contained templates.
 
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. ``score`` is the
-    largest share of a template that a block holds, 0 where no template reaches the threshold. Null and empty
+    largest share of a template that a window holds, 0 where no template reaches the threshold. Null and empty
     texts have no words and no labels. Rows that share a doc_id share the labels found by containment; an empty
     table gives an empty result.
     """

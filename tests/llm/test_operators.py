@@ -62,6 +62,45 @@ def test_query_equals_sql(spark, tiny, name):
     assert plain(map(tuple, df.select(*columns).collect())) == plain(found.fetchall())
 
 
+# --- licenses ---------------------------------------------------------------------------------------------------------
+
+def plain_templates(text):
+    """The best share of every template in any window of twice its words."""
+    words, out = re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower()), {}
+    for label, template in licenses.TEMPLATES.items():
+        own = re.findall("[0-9a-z]+", template.lower())
+        best = max((len(set(own) & set(words[k:k + 2 * len(own)])) for k in range(len(words))), default=0)
+        if best >= 0.8 * len(set(own)) - 1e-9:
+            out[label] = best / len(set(own))
+    return out
+
+
+def test_templates_are_found_across_lines_and_not_across_long_ones(spark):
+    import textwrap
+
+    rng = random.Random(3)
+    filler = [f"w{k}" for k in range(50)] + ["the", "License", "MIT", "of", "and", "é"]
+
+    def words(n):
+        return " ".join(rng.choices(filler, k=n))
+
+    rows = [textwrap.fill(f"{words(n)} {t} {words(9)}", 40) for t in licenses.TEMPLATES.values() for n in (0, 25, 505, 512, 700)]
+    spread = [words(3000).replace("License", "x") + " released " + words(40).replace("MIT", "x").replace("the", "x")
+              + " under " + words(2000).replace("License", "x") + " license"]
+    for t in licenses.TEMPLATES.values():
+        for gap in (1, 2, 3):
+            rows.append(" ".join(w for one in t.split() for w in [one, *rng.choices(filler, k=rng.randrange(gap))]
+                                 if rng.random() < 0.9))
+    rows += spread + ["", "\n", None, "mit " * 600, "released under the mit license " * 300]
+    got = {k: {} for k in range(len(rows))}
+    found = licenses.contained_templates(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"))
+    for r in found.groupBy("doc_id", "label").agg(F.max("score").alias("score")).collect():
+        got[r["doc_id"]][r["label"]] = r["score"]
+    assert got == {k: plain_templates(t or "") for k, t in enumerate(rows)}
+    assert all(label in got[5 * k + n] for k, label in enumerate(licenses.TEMPLATES) for n in range(5))
+    assert got[rows.index(spread[0])] == {}
+
+
 # --- language identification --------------------------------------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
