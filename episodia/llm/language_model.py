@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -75,6 +76,14 @@ class Lexicon:
         held = worker_cache(("words", self.key), self.dictionary)
         return np.fromiter(map(held.get, words, repeat(self.rare_id)), np.int64, len(words))
 
+    def histories(self, words: list[bytes]) -> np.ndarray:
+        """Ids as features read them: a word beyond the frequent ones has a hash of its bytes above the start mark."""
+        ids = self.ids(words)
+        rare = np.flatnonzero(ids == self.rare_id)
+        hashes = map(zlib.crc32, map(words.__getitem__, rare.tolist()))
+        ids[rare] = self.rare_id + 2 + np.fromiter(hashes, np.int64, len(rare))
+        return ids
+
     def dictionary(self) -> dict[bytes, int]:
         own = self.words.split(END) if self.rare_id else []
         if self.end_id >= 0:  # the separator as a word has left two empty strings
@@ -127,14 +136,14 @@ def log_class(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.nda
 
 
 def text_blocks(batches: Iterator[pd.DataFrame], lexicon: Lexicon, size: int = 200_000):
-    """Rows of about ``size`` tokens: (frame, words of each text, ids of each text)."""
+    """Rows of about ``size`` tokens: (frame, words of each text, ``Lexicon.histories`` of each text)."""
     for batch in batches:
         start, held, words = 0, 0, []
         for i, text in enumerate(batch["text"]):
             words.append(tokens(text))
             held += len(words[-1])
             if held >= size or i == len(batch) - 1:
-                yield batch.iloc[start:i + 1], words, [lexicon.ids(w) for w in words]
+                yield batch.iloc[start:i + 1], words, [lexicon.histories(w) for w in words]
                 start, held, words = i + 1, 0, []
 
 
@@ -153,6 +162,7 @@ def train(docs: DataFrame, lexicon: Lexicon, classes: int = CLASSES, rows: int =
         bias = lexicon.prior.astype(np.float32)
         for _, _, ids in text_blocks(batches, lexicon):
             features, flat = feature_rows(ids, lexicon.rare_id + 1, rows)
+            flat = np.minimum(flat, lexicon.rare_id)  # as a target a rare word is one of the last class
             target = lexicon.class_of[flat]
             used += np.bincount(features.ravel(), minlength=rows)
             for at in range(0, len(flat), BATCH):
@@ -160,7 +170,7 @@ def train(docs: DataFrame, lexicon: Lexicon, classes: int = CLASSES, rows: int =
                 error = np.exp(log_class(weights, bias, part))
                 error[np.arange(len(wanted)), wanted] -= 1
                 hashed = part.ravel()
-                order = np.argsort(hashed, kind="stable")
+                order = np.argsort(hashed.astype(np.uint16) if rows <= 1 << 16 else hashed, kind="stable")  # radix sort
                 firsts = np.flatnonzero(np.diff(hashed[order], prepend=-1))
                 touched = hashed[order[firsts]]
                 gradient = np.add.reduceat(error[order // FEATURES], firsts, axis=0)
@@ -198,6 +208,7 @@ def score_texts(docs: DataFrame, training: Column, frequent: int = FREQUENT, cla
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, words, ids in text_blocks(batches, lexicon):
             features, flat = feature_rows(ids, lexicon.rare_id + 1, rows)
+            flat = np.minimum(flat, lexicon.rare_id)  # as a target a rare word is one of the last class
             lengths = np.array([len(x) for x in ids])
             of_class = lexicon.class_of[flat]
             by_class = np.empty(len(flat))

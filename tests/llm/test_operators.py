@@ -483,6 +483,17 @@ def test_scores_of_texts(spark, docs, texts, frequent):
     assert model > base if frequent > 50 else model < 0
 
 
+def test_rare_words_are_told_apart_in_histories(spark):
+    rng = random.Random(1)
+    follows = {"left": "aa", "right": "zz"}  # both words before are beyond the only two with an id
+    texts = [" ".join(w for x in rng.choices(list(follows), k=30) for w in (x, follows[x])) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100, "left aa " * 30), (101, "left zz " * 30)]
+    table = spark.createDataFrame([(k, k >= 100, t) for k, t in rows] + [(9, False, "aa zz " * 2000)],
+                                  "doc_id long, held_out boolean, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(table, ~F.col("held_out"), frequent=2, classes=3).collect()}
+    assert got[100] > got[101] + 5
+
+
 def test_word_shares_are_a_distribution():
     words = [lm.END, *(f"w{i}".encode() for i in range(40))]
     counts = np.sort(np.random.default_rng(0).integers(1, 90, 41))[::-1].astype(np.int64)
