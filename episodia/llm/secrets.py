@@ -1,4 +1,8 @@
-"""Secret scans: fixed formats, and probabilistic automata learned from the credentials those find."""
+"""Secret scans: fixed formats, and probabilistic automata learned from the credentials those find.
+
+Candidates for the automata are runs of ``CHARACTERS`` less the base spans in them, as long as the shortest learned
+credential (6 to 20) or longer, that hold both a letter and a digit. Where a span was cut off, joining marks go too.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,10 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.ASCII | re.IGNORECASE)
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+CHARACTERS = r"[A-Za-z0-9+/_.=-]"
+MARKS = "+/_.=-"
+SHORTEST, BASE_RUN = 6, 20  # least length of an assigned value, and of an access key or hex run
+RUN = re.compile(CHARACTERS + "{%d,}" % BASE_RUN)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.DOTALL)
@@ -137,6 +144,9 @@ class Formats:
             machine = infer(shapes, alpha)
             scores = sorted(self.per_character(machine, s) for s in shapes)
             self.machines.append((machine, scores[int(quantile * (len(scores) - 1))]))
+        least = min((len(v) for values in labelled.values() for v in values), default=BASE_RUN)
+        self.shortest = min(BASE_RUN, max(SHORTEST, least))
+        self.run = re.compile(CHARACTERS + "{%d,}" % self.shortest)
 
     @staticmethod
     def per_character(machine: Automaton, word: str) -> float:
@@ -166,13 +176,40 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return sorted(spans), runs
 
 
+def candidates(text: str, base: list[tuple[int, int, int]], formats: Formats) -> Iterator[tuple[int, int]]:
+    """(start, end) of what is left of runs after the base spans are cut out, if long enough and mixed."""
+    at = 0  # base spans before this one end before the run
+    taken: list[list[int]] = []
+    for start, _, end in base:  # by start; overlapping ones become one
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    for run in formats.run.finditer(text):
+        start, last = run.span()
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        k, pieces = at, []
+        while k < len(taken) and taken[k][0] < last:
+            pieces.append((start, taken[k][0]))
+            start, k = taken[k][1], k + 1
+        pieces.append((start, last))
+        for s, e in pieces:
+            if s > run.start():
+                while s < e and text[s] in MARKS:
+                    s += 1
+            if e < last:
+                while s < e and text[e - 1] in MARKS:
+                    e -= 1
+            if e - s >= formats.shortest and MIXED.match(text[s:e]):
+                yield s, e
+
+
 def all_spans(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
-    """Base spans, all spans and the best score of a candidate: a mixed run apart from every base span."""
-    base, runs = base_spans(text)
+    """Base spans, all spans and the best score of a candidate."""
+    base, _ = base_spans(text)
     more, best = [], -math.inf
-    for start, end in runs:
-        if any(s < end and start < e for s, _, e in base) or not MIXED.match(text[start:end]):
-            continue
+    for start, end in candidates(text, base, formats):
         found, score = formats.score(text[start:end])
         best = max(best, score)
         if found:
@@ -208,8 +245,8 @@ def secret_scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """Per row the counts and spans of credentials: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model,
     best_score.
 
-    Spans are kind:start:end in code points, by start and then kind; ``model`` spans are runs that a learned
-    automaton scores like its own credentials. Formats are learned from ``docs`` unless given. A null text is
+    Spans are kind:start:end in code points, by start and then kind; ``model`` spans are candidates that a
+    learned automaton scores like its own credentials. Formats are learned from ``docs`` unless given. A null text is
     empty; without any labelled credential there are no automata and so no ``model`` spans.
     """
     formats = formats or Formats(labelled_credentials(docs))
