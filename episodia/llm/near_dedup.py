@@ -18,6 +18,7 @@ CHUNKS = 8  # a signature is split into so many parts
 ERRORS = 1  # differing values looked up within a part
 #: by pigeonhole, two signatures that differ in at most so many places have a part with at most ERRORS differences
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+CONFIRM = 20  # pairs that share a bucket are confirmed on full sets up to this distance
 BLOCK = 2048  # members of a bucket that make a block; two blocks meet in a cell, so a cell has twice as many at most
 KEEP = 250_000  # words whose hashes a worker remembers
 
@@ -111,14 +112,14 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within the signature distance whose set sizes allow the similarity."""
+    """Pairs (a, b) within ``CONFIRM`` of each other's signature whose set sizes allow the similarity."""
     sizes = nodes.select("node", "n_shingles", "signature")
     both = (pairs.join(sizes.toDF("a", "n_a", "s_a"), "a").join(sizes.toDF("b", "n_b", "s_b"), "b")
             .where("100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(percent)))
 
     def near(s_a: pd.Series, s_b: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(s), dtype="<u2").reshape(-1, POSITIONS) for s in (s_a, s_b))
-        return pd.Series((x != y).sum(axis=1) <= DISTANCE)
+        return pd.Series((x != y).sum(axis=1) <= CONFIRM)
 
     return both.where(F.pandas_udf(near, "boolean")("s_a", "s_b")).select("a", "b")
 
@@ -169,7 +170,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 def near_in_cells(starts: np.ndarray, sizes: np.ndarray, component: np.ndarray, n: np.ndarray, signatures: np.ndarray,
                   percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) within the distance and of different components, of cells that are runs of rows.
+    """Rows (i, j) within ``CONFIRM`` and of different components, of cells that are runs of rows.
 
     Cells of one size go together.
     """
@@ -184,7 +185,7 @@ def near_in_cells(starts: np.ndarray, sizes: np.ndarray, component: np.ndarray,
                 value = signatures[at, k]
                 differ += value[:, :, None] != value[:, None, :]
             c = component[at]
-            which, i, j = np.nonzero((differ <= DISTANCE) & upper & (c[:, :, None] != c[:, None, :]))
+            which, i, j = np.nonzero((differ <= CONFIRM) & upper & (c[:, :, None] != c[:, None, :]))
             i, j = at[which, i], at[which, j]
             fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             yield i[fit], j[fit]
@@ -199,7 +200,7 @@ class Linker:
         self.width, self.percent = width, percent
         self.unpack = zstandard.ZstdDecompressor().decompress
         self.joined: dict[int, int] = {}
-        self.sets: dict[int, np.ndarray] = {}
+        self.sets: dict[tuple[int, bytes], np.ndarray] = {}
 
     def root(self, component: int) -> int:
         while component in self.joined:
@@ -209,14 +210,14 @@ class Linker:
     def set_of(self, node: int, packed: bytes, key: bytes) -> np.ndarray:
         import xxhash
 
-        if node not in self.sets:
-            if len(self.sets) > 4096:
-                self.sets.clear()
+        if (node, key) not in self.sets:
             held = shingle_set(self.unpack(packed), self.width)
             if xxhash.xxh3_128_digest(held.tobytes()) != key:  # another row of that doc_id
-                held = np.empty(0, dtype=np.uint64)
-            self.sets[node] = held
-        return self.sets[node]
+                return np.empty(0, dtype=np.uint64)
+            if len(self.sets) > 4096:
+                self.sets.clear()
+            self.sets[node, key] = held
+        return self.sets[node, key]
 
     def links(self, frame: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
         """(larger, smaller node) of pairs that join two components which nothing joined before."""
@@ -254,7 +255,7 @@ def cross_links(rest: DataFrame, width: int, percent: int) -> DataFrame:
 
     ``rest`` has key, node, component, n_shingles, signature, set_key, packed and the bucket's size. A large bucket
     is dealt into cells: its members into blocks, and a cell for every two blocks, so no task meets a whole bucket.
-    Pairs within the signature distance are found and confirmed inside the cell; only links leave it.
+    Pairs within ``CONFIRM`` of each other's signature are found and confirmed inside the cell; only links leave it.
     """
     blocks = F.ceil(F.col("size") / BLOCK)
     columns = ["cell", "node", "component", "n_shingles", "signature", "set_key", "packed"]
@@ -295,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Documents with equal sets are one node. All keys of a signature with up to ``ERRORS`` values of a part left
     out put every two signatures within ``DISTANCE`` into a common bucket. First each member of a bucket is held
     against the bucket's smallest node; where members then still lie in different components, all of those pairs
-    within the distance follow, cell by cell. Links are confirmed on the full sets of whole texts. A group of
+    within ``CONFIRM`` follow, cell by cell. Links are confirmed on the full sets of whole texts. A group of
     near copies so makes about one row a member, and no link between components is left out.
 
     A null or empty text has an empty set and no links. Rows with one doc_id are one document; a row without

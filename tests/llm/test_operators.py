@@ -381,6 +381,30 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(1, 41)} | {95: 90, 100: 90}
 
 
+def test_bucket_pairs_are_kept_up_to_the_wider_distance(spark):
+    a = np.arange(near_dedup.POSITIONS, dtype="<u2")
+    b = a.copy()
+    b[:18] += 100
+    nodes = spark.createDataFrame([(1, 50, a.tobytes()), (2, 50, b.tobytes())],
+                                  "node long, n_shingles long, signature binary")
+    pairs = spark.createDataFrame([(2, 1)], "a long, b long")
+    assert near_dedup.likely(pairs, nodes, 80).count() == 1
+    one = np.array([0]), np.array([2]), np.array([1, 2]), np.array([50, 50]), np.stack([a, b])
+    assert [i.tolist() for i, _ in near_dedup.near_in_cells(*one, 80)] == [[0]]
+
+
+def test_another_row_of_a_doc_id_does_not_hide_its_set():
+    import xxhash
+    import zstandard
+
+    own, other = b"a b c d e f g", b"quite another text under that id"
+    held = near_dedup.shingle_set(own, 5)
+    key, pack = xxhash.xxh3_128_digest(held.tobytes()), zstandard.ZstdCompressor().compress
+    linker = near_dedup.Linker(5, 80)
+    assert not len(linker.set_of(1, pack(other), key))
+    assert linker.set_of(1, pack(own), key).tolist() == held.tolist()
+
+
 # --- quality ------------------------------------------------------------------------------------------------------------------------
 
 def test_quality_counts_and_ratio(spark, tiny, docs, texts):
