@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, ship
+from .decontam import decontamination
 from .langid import language_id
 from .language_model import language_model_scores
 from .licenses import license_scan
@@ -16,6 +17,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
 from .secrets import secret_scan
+from .spelling import spelling_variants
 from .suffix_dedup import remove_repeats
 from .topk import exact_topk
 
@@ -81,3 +83,13 @@ def op9(spark, d):
 @query("op10_exact_topk")
 def op10(spark, d):
     return exact_topk(read_table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op12_spelling_variants")
+def op12(spark, d):
+    return spelling_variants(read_table(spark, d, "documents"))
+
+
+@query("op13_benchmark_decontamination")
+def op13(spark, d):
+    return decontamination(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
