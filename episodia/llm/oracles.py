@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import WINDOW
 from .licenses import CONTAINMENT, LETTERS, PHRASES, TEMPLATES
 
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,24 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
        vec_id, score
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
+
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), '" + LETTERS + "', '" + LETTERS.lower()
+          + "'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')")
+ORACLES["op13_benchmark_decontamination"] = f"""
+WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') item, {_WORDS} ws FROM benchmark),
+starts AS (
+  SELECT item, ws, least(len(ws), {WINDOW}) n, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) k
+  FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(ws[k:k + n - 1], ' ') phrase FROM starts),
+split AS (SELECT row_number() OVER () row, doc_id, {_WORDS} ws FROM documents),
+placed AS (SELECT row, ws, unnest(range(1, len(ws) + 1)) k FROM split),
+runs AS (
+  SELECT row, k, n, array_to_string(ws[k:k + n - 1], ' ') phrase
+  FROM placed, (SELECT DISTINCT n FROM windows) AS widths WHERE k + n - 1 <= len(ws)),
+found AS (SELECT row, k, n, item FROM runs JOIN windows USING (n, phrase)),
+hit AS (SELECT row, count(*) n_hit FROM (SELECT DISTINCT row, unnest(range(k, k + n)) FROM found) GROUP BY row),
+held AS (SELECT row, list_sort(list(DISTINCT item)) items FROM found GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM split LEFT JOIN hit USING (row) LEFT JOIN held USING (row)
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, ship
+from .conversations import conversation_repair
 from .decontam import decontamination
 from .langid import language_id
 from .language_model import language_model_scores
@@ -85,6 +86,11 @@ def op10(spark, d):
     return exact_topk(read_table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op11_conversation_repair")
+def op11(spark, d):
+    return conversation_repair(read_table(spark, d, "conversations"))
+
+
 @query("op12_spelling_variants")
 def op12(spark, d):
     return spelling_variants(read_table(spark, d, "documents"))

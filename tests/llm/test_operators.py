@@ -49,7 +49,7 @@ def crc(doc_id):
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_equals_sql(spark, tiny, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tiny}/{table}.parquet'")
     df = queries.QUERIES[name](spark, tiny)
     found = con.execute(oracles.ORACLES[name])
