@@ -598,6 +598,31 @@ ORACLES["score_stream"] = sql(
     f"CAST(NULL AS BIGINT) AS context_len, {NOTHING}task_group, {NOTHING}task, {NOTHING}answer_type, "
     + shown("gk", "gold") + " AS answer FROM scored", "boxed_outputs", extra=BOXED_CTES)
 
+STREAM_BATCH = {**BATCH, "batched": "SELECT *, (row_no - 1) // 16 AS batch_id FROM numbered"}
+ORACLES["running_score_stream"] = sql(
+    "SELECT batch_id, n, n_missing, CAST(sum(n) OVER w AS BIGINT) AS rows_so_far, CAST(sum(s) OVER w AS DOUBLE) / "
+    "CAST(sum(n) OVER w AS DOUBLE) AS score_so_far FROM (SELECT batch_id, count(*) AS n, count_if(missing) AS n_missing, "
+    f"sum({DEC}) AS s FROM batched JOIN everything USING (id) GROUP BY batch_id) WINDOW w AS (ORDER BY batch_id)",
+    "boxed_outputs", extra={**BOXED_CTES, **STREAM_BATCH, "everything":
+                            "SELECT id, score, false AS missing FROM scored UNION ALL SELECT id, 0.0, finish_reason <> "
+                            "'content_filter' FROM boxed_outputs WHERE output IS NULL"})
+STREAMED = {**BOXED_CTES, **STREAM_BATCH, "streamed": (
+    "SELECT id, CASE WHEN boxed IS NULL THEN 'low' ELSE 'high' END AS parse_confidence, output AS full_answer, score, "
+    + shown("gk", "gold") + " AS answer FROM scored UNION ALL SELECT id, 'low', 'CONTENT_FILTERED', 0.0, "
+    + shown("CASE WHEN " + INT.format("answer") + " THEN 'int' WHEN contains(answer, ',') THEN 'list' ELSE 'string' END", "answer")
+    + " FROM boxed_outputs WHERE output IS NULL AND finish_reason = 'content_filter'")}
+ORACLES["run_stream_rows"] = sql(
+    "SELECT id, batch_id, parse_confidence, full_answer, score, answer FROM streamed JOIN batched USING (id)",
+    "boxed_outputs", extra=STREAMED)
+ORACLES["run_stream_parts"] = sql(
+    f"SELECT 'batch' AS part, CAST(batch_id AS VARCHAR) AS name, count(*) AS n, CAST(sum({DEC}) AS DOUBLE) AS score "
+    "FROM streamed JOIN batched USING (id) GROUP BY batch_id UNION ALL "
+    "SELECT 'reject', concat_ws(' ', id, finish_reason), 1, 0.0 FROM boxed_outputs WHERE output IS NULL AND "
+    "finish_reason <> 'content_filter' UNION ALL "
+    "SELECT 'summary', concat('Overall score for m1 on ', n, ' examples: ', correct, '/', n, ' = ', correct / n), 1, 0.0 "
+    f"FROM (SELECT (SELECT count(*) FROM boxed_outputs) AS n, CAST(sum({DEC}) AS DOUBLE) AS correct FROM streamed)",
+    "boxed_outputs", extra=STREAMED)
+
 # --- files written and read again: the oracle works on the rows before they were written ---------------------------
 ORACLES["log_files_edges"] = sql(
     "SELECT campaign, episode, count(*) AS n, arg_min(character, seq) AS first_character, "

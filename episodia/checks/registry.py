@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import parsing, scores
 from ..functions.text import (clean_text, episodes_key, question_id, valid_character,
@@ -17,6 +18,8 @@ from ..plans import assemble, evaluation as ev, rolls as r, scoring, spells as s
 from ..session import materialize, shared_folder
 from ..sources import dialogue, results
 from ..sources.logs import player_map
+from ..streaming import run_stream as rs
+from ..streaming.running_score import running_score, running_score_stream
 from ..streaming.score_stream import score_stream
 from .views import SCHEMAS, VIEWS, table, view, window_members
 
@@ -25,6 +28,7 @@ W = ("window_key", "campaign")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 BATCH_SIZE = 8
+STREAM_BATCH_SIZE = 16
 MODEL = "m1"
 
 
@@ -491,6 +495,93 @@ def _(spark, d):
     return spark.read.schema(results.SCORED_ROW).parquet(f"{folder}/rows")
 
 
+class Killed(Exception):
+    pass
+
+
+def killed_once(at: int):
+    """A listener that breaks a run off after the ``at``-th part it has written, in the midst of a trigger."""
+    parts = []
+
+    def step(name: str) -> None:
+        parts.append(name)
+        if len(parts) == at:
+            raise Killed(name)
+    return step
+
+
+def until_done(start) -> None:
+    """Run a stream that breaks off, then again from its checkpoint."""
+    from pyspark.errors import StreamingQueryException
+
+    for _ in range(2):
+        try:
+            start().awaitTermination()
+            return
+        except StreamingQueryException as broken:
+            if "Killed" not in str(broken):
+                raise
+    raise RuntimeError("the repeated stream broke off again")
+
+
+def arriving_outputs(spark, d, folder: str) -> DataFrame:
+    """Outputs as a stream of three triggers and more: shares of the events by id, the last with repeats of the others, and
+    then one late output of no question, which moves the watermark on."""
+    given = view(spark, d, "boxed_outputs").select("id", "output", "finish_reason")
+    schema = T.StructType([*results.OUTPUT_ROW.fields, T.StructField("time", T.TimestampType())])
+
+    def write(rows: DataFrame, day: int) -> None:
+        timed = rows.withColumn("time", F.lit(f"2024-01-{day:02} 12:00:00").cast("timestamp"))
+        timed.coalesce(1).write.mode("append").json(folder)
+
+    for share in range(3):
+        again = given.where(f"crc32(id) % 3 < {share} AND crc32(id) % 5 = 0")
+        write(given.where(f"crc32(id) % 3 = {share}").union(again), 1)
+    write(spark.range(1).select(F.lit("none").alias("id"), F.lit("").alias("output"), F.lit("stop").alias("finish_reason")), 20)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder)
+
+
+def stream_plan(spark, d) -> DataFrame:
+    return materialize(ev.batches(datapoints(spark, d), STREAM_BATCH_SIZE))
+
+
+@query("running_score_stream")
+def _(spark, d):
+    """The running score kept by a stream, which breaks off in its last trigger and goes on."""
+    folder, plan, step = fresh_folder(spark, "running"), stream_plan(spark, d), killed_once(3)
+    outputs_ = arriving_outputs(spark, d, f"{folder}/outputs")
+    until_done(lambda: running_score_stream(outputs_, datapoints(spark, d), plan.select("id", "batch_id"), f"{folder}/run",
+                                            f"{folder}/progress", step=step))
+    return running_score(spark, f"{folder}/run")
+
+
+def streamed_run(spark, d) -> tuple[str, DataFrame]:
+    """A streamed run that breaks off between two parts of its second trigger and is repeated."""
+    folder, plan, step = fresh_folder(spark, "streamed"), stream_plan(spark, d), killed_once(6)
+    outputs_ = arriving_outputs(spark, d, f"{folder}/outputs")
+    until_done(lambda: rs.run_stream(outputs_.drop("time"), plan, f"{folder}/run", f"{folder}/progress", MODEL, step=step))
+    return f"{folder}/run", plan
+
+
+@query("run_stream_rows")
+def _(spark, d):
+    folder, _ = streamed_run(spark, d)
+    return rs.run_rows(spark, folder).select("id", "batch_id", "parse_confidence", "full_answer", "score", "answer")
+
+
+@query("run_stream_parts")
+def _(spark, d):
+    """What else the commits hold: sums of batches, rejected ids, and the summary line."""
+    folder, plan = streamed_run(spark, d)
+    batches = rs.run_batches(spark, folder).select(
+        F.lit("batch").alias("part"), F.col("batch_id").cast("string").alias("name"), "n", F.col("batch_score").cast("double").alias("score"))
+    rejects = rs.run_rejects(spark, folder).select(
+        F.lit("reject").alias("part"), F.concat_ws(" ", "id", "finish_reason").alias("name"), F.lit(1).cast("bigint").alias("n"), F.lit(0.0).alias("score"))
+    line = rs.run_summary(spark, folder, plan, MODEL).select(
+        F.lit("summary").alias("part"), F.col("summary").alias("name"), F.lit(1).cast("bigint").alias("n"), F.lit(0.0).alias("score"))
+    return batches.union(rejects).union(line)
+
+
 # --- files written and read again ---------------------------------------------------------------------------------
 
 def fresh_folder(spark, name: str) -> str:
