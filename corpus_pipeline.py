@@ -6,7 +6,10 @@ columns of ``docs``; rows with nulls, repeated rows and further columns pass thr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodia.llm import langid, mixing, near_dedup, packing, secrets
@@ -19,44 +22,47 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 TOKEN_SHARE = 0.8  # of the tokens that reach the mixing stage
 
 
-def columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def apart(*needed: str):
+    """Let a stage see its ``needed`` columns alone by name, so that no other column can clash with one of its own."""
+    def wrap(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
+        @wraps(stage)
+        def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            ship(spark)
+            names = {c: c if c in needed else f"aside{k}" for k, c in enumerate(docs.columns)}
+            found = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
+            return found.select(*[F.col(n).alias(c) for c, n in names.items()])
+        return run_apart
+    return wrap
 
 
+@apart("text", "lang", "doc_id")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear, with the one found as lang; no text, no letter or a low score rejects."""
-    ship(spark)
     model = langid.fit(docs, langid.learnable_rows())
-    found = langid.identify(docs, model, "_lang_pred", "_score")
-    clear = (F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= MIN_LANGUAGE_SCORE)
-    return found.where(clear).select(
-        *[F.col("_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    found = langid.identify(docs, model, "found", "score")
+    clear = (F.col("found") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return found.where(clear).withColumn("lang", F.col("found"))
 
 
+@apart("doc_id", "text")
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id, once if its row repeats."""
-    ship(spark)
-    found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    return (kept.withColumn("_again", again).where((F.col("_again") == 1) | F.col("doc_id").isNull())
-            .select(*columns(docs)))
+    return near_dedup.one_of_each_group(docs, SHINGLE_WORDS, SIMILARITY)
 
 
+@apart("text", "n_chars")
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its credentials replaced by a mark and n_chars by the new length."""
-    ship(spark)
     clean = secrets.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast("long"))
     return clean
 
 
+@apart("doc_id", "text", "lang", "source")
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows by the target weights; a document appears once per epoch that takes it."""
-    ship(spark)
-    return mixing.mix(docs, TOKEN_SHARE).select(*columns(docs))
+    return mixing.mix(docs, TOKEN_SHARE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

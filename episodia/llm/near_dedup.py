@@ -333,3 +333,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return (rows.join(of_class, "set_key", "left")
             .select("doc_id", "n_shingles", F.coalesce("linked", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest doc_id, then of equal rows any.
+
+    Every row is a document of its own here, so rows that share a doc_id with different texts are told apart. Rows
+    without doc_id stay, and of rows without a word those of one doc_id and text stay once. ``docs`` needs doc_id and
+    text, and no columns of the names ``row`` and ``alike``.
+    """
+    alike = F.xxhash64("doc_id", "text")
+    numbered = materialize(docs.where("doc_id is not null").withColumns(
+        {"row": F.monotonically_increasing_id(), "alike": alike}))
+    found = near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text"), width, percent)
+    of_row = found.select(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") > 0).alias("worded"))
+    group = F.when(F.col("worded"), F.struct(F.lit(0).alias("alike"), F.col("component_id").alias("id"))).otherwise(
+        F.struct("alike", F.col("doc_id").cast("long").alias("id")))
+    least = F.min(F.struct("doc_id", "row"))["row"].alias("row")
+    stay = numbered.select("row", "doc_id", "alike").join(of_row, "row").groupBy("worded", group.alias("group")).agg(least)
+    kept = numbered.join(stay.select("row"), "row", "left_semi").drop("row", "alike")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import itertools
 
-import corpus_pipeline
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .test_operators import plain_components, plain_spans, plain_words
 
 
@@ -61,3 +62,32 @@ def test_run_applies_all_stages(spark, tiny):
     rows = corpus_pipeline.run(spark, tiny)
     assert rows.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert rows.agg(F.max("length")).first()[0] <= 4096
+
+
+CLASHING = ("_gone _again _id _tokens _budget _epoch _place _lang_pred _score _identified _domain _language _origin _bucket "
+            "row alike found score aside0 aside1 aside2 node key component_id kept text_md5").split()
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(60)
+    plain = docs.withColumn("n", F.col("doc_id"))
+    named = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = corpus_pipeline.materialize(stage(spark, plain, tiny))
+        named = corpus_pipeline.materialize(stage(spark, named, tiny))
+        assert named.columns == [*docs.columns, *CLASHING], name
+        pick = [c for c in docs.columns if c != "n_chars"]
+        assert sorted(map(tuple, named.select(*pick).collect()), key=str) == sorted(map(tuple, plain.select(*pick).collect()), key=str)
+        assert named.where(" OR ".join(f"{c} <> concat('{c}', doc_id)" for c in CLASHING)).isEmpty(), name
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, tiny):
+    def text(k):
+        return " ".join(f"w{(k * 97 + i * i) % 1013}x{i}" for i in range(60))
+
+    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(2) + " end"), (3, text(3)), (3, text(1) + " end"), (None, text(3)),
+            (None, text(4)), (4, ""), (4, ""), (4, None), (5, text(5)), (5, text(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, tiny).collect()
+    expected = [(1, text(1)), (1, text(2)), (3, text(3)), (None, text(3)), (None, text(4)), (4, ""), (4, None), (5, text(5)), (5, text(6))]
+    assert sorted(map(tuple, kept), key=str) == sorted(expected, key=str)
