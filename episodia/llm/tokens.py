@@ -35,7 +35,7 @@ class ChunkTokenizer:
     def learn(self, chunks: set[bytes]) -> None:
         """Ids of chunks not seen yet. A word of Latin letters and the marks after it are looked up apart, and a
         plain word in lower case, as the vocabulary has it: so far fewer chunks are encoded."""
-        new = chunks - self.ids.keys()
+        new = chunks.difference(self.ids)  # looks the chunks up; ``-`` would walk through all ids instead
         if len(self.ids) + len(new) > KEEP:
             self.ids, new = {}, chunks
         parts, known = {}, self.ids
