@@ -628,6 +628,20 @@ ORACLES["log_files_edges"] = sql(
     "SELECT campaign, episode, count(*) AS n, arg_min(character, seq) AS first_character, "
     "arg_max(natural_value, seq) AS last_value FROM (SELECT seq, campaign, episode, coalesce(character, 'nobody') AS character, "
     "natural_value FROM roll_log) GROUP BY 1, 2", "roll_log")
+ORACLES["episode_files"] = sql(
+    "SELECT campaign, episode, count(*) AS n, arg_min(coalesce(spell, '-'), seq) AS first_spell, arg_max(character, seq) AS "
+    "last_character, count(cast_at) AS n_cast, count(*) AS n_time FROM spell_log GROUP BY 1, 2", "spell_log")
+TEXTS = ("SELECT campaign, episode, string_agg(line, chr(10) ORDER BY seq){0} AS text FROM lines {1} GROUP BY 1, 2")
+ORACLES["transcript_files"] = sql(
+    "SELECT campaign, episode, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM ("
+    + TEXTS.format(" || chr(10)", "WHERE episode % 10 <> 7") + ") UNION ALL SELECT DISTINCT 'none', episode, 0, '' FROM lines "
+    "WHERE episode % 10 = 7", "lines")
+ORACLES["transcript_named_files"] = sql(
+    "SELECT campaign, episode, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM ("
+    + TEXTS.format(" || chr(10)", "WHERE campaign = 'campaign1'") + ")", "lines")
+ORACLES["dataset_files"] = sql(
+    "SELECT CAST(doc_id AS VARCHAR) AS context_window_id, CAST(2 AS BIGINT) AS n, concat(doc_id, '-b') AS last_id, "
+    "md5(text) AS text_md5 FROM documents")
 ORACLES["question_set_files"] = sql(
     "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS n, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5, "
     f"{LEN} AS context_len FROM documents")

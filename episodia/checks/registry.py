@@ -17,7 +17,7 @@ from ..operators import windows as w
 from ..plans import assemble, evaluation as ev, rolls as r, scoring, spells as s
 from ..session import materialize, shared_folder
 from ..sources import dialogue, results
-from ..sources.logs import player_map
+from ..sources.logs import SPELL_COLUMNS, player_map, read_episode_files
 from ..streaming import run_stream as rs
 from ..streaming.running_score import running_score, running_score_stream
 from ..streaming.score_stream import score_stream
@@ -613,6 +613,97 @@ def read_log_rows(spark, folder: str) -> DataFrame:
     return _read_tsv(spark, folder, ("place", "time", "character", "roll_type", "total_value", "natural_value"), "*.csv")
 
 
+def named_files(spark, rows: DataFrame, folder: str, name: str, write) -> None:
+    """Write one file for each value of the column ``name`` and call it so; only names pass through the driver."""
+    parts = f"{folder}-parts"
+    write(rows.repartition(name).sortWithinPartitions(name, "seq").drop("seq").write.partitionBy(name), parts)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path(folder))
+    for found in system.listStatus(path(parts)):
+        value = found.getPath().getName().partition("=")[2]
+        for file in system.listStatus(found.getPath()) if value else ():
+            system.rename(file.getPath(), path(f"{folder}/{value}"))
+
+
+@query("episode_files")
+def _(spark, d):
+    """Spells in a file for each episode, a third of them with a column more ahead, merged again."""
+    folder = fresh_folder(spark, "episodes")
+    log = spells(spark, d).select(
+        "campaign", "seq", F.concat(F.lit("Spells - 2-"), F.col("episode").cast("string"), F.lit(".tsv")).alias("name"),
+        (F.col("episode") % 3 == 0).alias("more"), F.lit("old").alias("Old"), F.lit("0:01").alias("Time"),
+        F.col("character").alias("Character"), F.col("spell").alias("Spell"), F.col("base_lvl").alias("Base Lvl"),
+        F.col("cast_at").alias("Cast At"), F.lit(None).cast("string").alias("Notes"))
+    merged = None
+    for campaign in fixed.SPLIT_BY_CAMPAIGN:
+        own = log.where(F.col("campaign") == campaign).drop("campaign")
+        for more, rows in ((True, own.where("more").drop("more")), (False, own.where("not more").drop("more", "Old"))):
+            named_files(spark, rows, f"{folder}/{campaign}-{more}", "name",
+                        lambda w, path: w.option("sep", "\t").option("header", True).csv(path))
+            part = read_episode_files(spark, f"{folder}/{campaign}-{more}", campaign, SPELL_COLUMNS)
+            merged = part if merged is None else merged.union(part)
+    return merged.groupBy(*E).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.coalesce("spell", F.lit("-")), "seq").alias("first_spell"),
+        F.max_by("character", "seq").alias("last_character"), F.count("cast_at").alias("n_cast"),
+        F.count_if(F.col("time") == "0:01").alias("n_time"))
+
+
+def dialogue_files(spark, d) -> str:
+    """Conversations as one dialogue file each, of two campaigns and of none."""
+    folder = fresh_folder(spark, "dialogues")
+    turns = view(spark, d, "turns").select(
+        F.concat(F.when(F.col("episode") % 10 == 7, "X").when(F.col("campaign") == "campaign1", "C1").otherwise("C2"), F.lit("E"),
+                 F.lpad(F.col("episode").cast("string"), 3, "0"), F.lit(".json")).alias("name"), "seq",
+        F.struct(F.when(F.col("seq") % 3 == 1, F.array("name", F.lit("GUEST"))).otherwise(F.array("name")).alias("NAMES"),
+                 F.split("utterance", " ").alias("UTTERANCES")).alias("turn"))
+    rows = turns.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("seq", "turn"))).alias("turns")).select(
+        "name", F.lit(0).alias("seq"), F.col("turns.turn").alias("TURNS"))
+    named_files(spark, rows, folder, "name", lambda w, path: w.json(path))
+    return folder
+
+
+@query("transcript_files")
+def _(spark, d):
+    """Dialogue files to transcripts, written and read again; files of no campaign are listed with no text."""
+    from ..plans import jobs
+
+    folder = dialogue_files(spark, d)
+    rejects = jobs.prepare_transcripts(spark, folder, f"{folder}-texts")
+    texts = dialogue.read_written_transcripts(spark, f"{folder}-texts").select(
+        *E, "chars", F.md5("text").alias("text_md5"))
+    return texts.unionByName(rejects.select(F.lit("none").alias("campaign"), F.regexp_extract("stem", "E([0-9]+)", 1).cast("int").alias("episode"),
+                                            F.lit(0).cast("bigint").alias("chars"), F.lit("").alias("text_md5")))
+
+
+@query("transcript_named_files")
+def _(spark, d):
+    """Transcripts as one text file each, told apart by their names, read line by line into texts."""
+    folder = fresh_folder(spark, "transcripts")
+    rows = lines(spark, d).where("campaign = 'campaign1'").select(
+        F.format_string("C1E%03d.txt", "episode").alias("name"), "seq", F.col("line").alias("value"))
+    named_files(spark, rows, folder, "name", lambda w, path: w.text(path))
+    texts = dialogue.read_transcripts(spark, folder, "campaign1")
+    return texts.select(*E, "chars", F.md5("text").alias("text_md5"))
+
+
+@query("dataset_files")
+def _(spark, d):
+    """An export whose rows carry their texts, read and split into questions and texts, each window's once."""
+    from ..plans import jobs
+
+    folder = fresh_folder(spark, "dataset")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    asked = docs.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("q"), "doc_id", "text").select(
+        F.concat_ws("-", F.col("doc_id").cast("string"), "q").alias("id"), F.col("doc_id").cast("string").alias("context_window_id"),
+        F.col("text").alias("context_window_text"), F.col("q").alias("question"), F.lit("1").alias("answer"),
+        F.lit("t").alias("question_type"), F.array(F.lit(1)).alias("episodes"), F.lit("campaign1").alias("campaign"))
+    asked.write.json(folder)
+    questions, windows = jobs.split_texts(results.read_dataset(spark, folder).drop("part"))
+    counted = questions.groupBy("context_window_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
+    return counted.join(windows.select("context_window_id", F.md5("context_window_text").alias("text_md5")), "context_window_id")
+
+
 @query("question_set_files")
 def _(spark, d):
     """Documents as windows cut into short parts, written with their questions, read back and measured."""

@@ -69,8 +69,8 @@ def in_file_order(raw: DataFrame, path: str, glob: str | None = None, order: Col
 
 
 def _read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...], glob: str | None = None,
-              order: Column | None = None) -> DataFrame:
-    reader = spark.read.schema(_texts(*columns)).option("sep", "\t").option("header", True).option("enforceSchema", True)
+              order: Column | None = None, header: bool = True) -> DataFrame:
+    reader = spark.read.schema(_texts(*columns)).option("sep", "\t").option("header", header).option("enforceSchema", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rows = in_file_order(reader.csv(path), path, glob, order)
@@ -92,23 +92,45 @@ def read_spells(spark: SparkSession, path: str, campaign: str) -> DataFrame:
     return read_log(spark, path, campaign, SPELL_COLUMNS)
 
 
+MOST_EXTRA = 3  # leading columns beyond the log's that a file may have
+
+
+def header_offsets(spark: SparkSession, path: str, fields: tuple[str, ...], glob: str | None = None) -> DataFrame:
+    """(file_name, offset): how many columns each file has before the log's own, as its header line says.
+
+    A header is a first line in which the names of the first two fields stand side by side, in any case and with blanks
+    for underscores. A file without one has no row.
+    """
+    generic = tuple(f"_c{i}" for i in range(MOST_EXTRA + 2))
+
+    def named(k: int, field: str) -> Column:
+        return F.regexp_replace(F.lower(F.trim(F.col(generic[k]))), " +", "_") == field
+
+    offset = F.coalesce(*[F.when(named(k, fields[0]) & named(k + 1, fields[1]), F.lit(k)) for k in range(MOST_EXTRA + 1)])
+    lines = _read_tsv(spark, path, generic, glob, header=False).withColumn("offset", offset)
+    return lines.groupBy("file_name").agg(F.min_by("offset", "seq").alias("offset")).where("offset is not null")
+
+
 def read_episode_files(spark: SparkSession, path: str, campaign: str, columns: tuple[str, ...],
                        glob: str = "*.tsv", episode_pattern: str = "-([0-9]+)\\.tsv$",
                        extra_column: tuple[int, int] | None = None) -> DataFrame:
     """One log file per episode: merge them, with the episode taken from the file name.
 
-    ``columns`` are those of the merged log, whose first is the episode. ``extra_column`` is the range of episodes
-    whose files have one more leading column, which is cut. ``seq`` grows from episode to episode and along each
-    file. Files are read row by row and split over tasks, whatever their size.
+    ``columns`` are those of the merged log, whose first is the episode. Leading columns that a file's header has
+    beyond them are cut. ``extra_column`` is the range of episodes that have one more where no header tells. ``seq``
+    grows from episode to episode and along each file. Files are read row by row and split over tasks, whatever their
+    size; only the list of files and offsets joins.
     """
     fields = columns[1:]
     number = F.regexp_extract(F.regexp_replace("_name", "%20", " "), episode_pattern, 1).try_cast("int")
-    generic = tuple(f"_c{i}" for i in range(len(fields) + 1))
+    generic = tuple(f"_c{i}" for i in range(len(fields) + MOST_EXTRA))
     rows = _read_tsv(spark, path, generic, glob, number).withColumn(
         "episode", F.regexp_extract("file_name", episode_pattern, 1).try_cast("int")).where("episode is not null")
-    extra = F.col("episode").between(*extra_column) if extra_column else F.lit(False)
-    return rows.select(F.lit(campaign).alias("campaign"), "episode", "seq", *[
-        F.when(extra, F.col(generic[i + 1])).otherwise(F.col(generic[i])).alias(c) for i, c in enumerate(fields)])
+    told = rows.join(header_offsets(spark, path, fields, glob), "file_name", "left")
+    untold = F.when(F.col("episode").between(*extra_column), 1).otherwise(0) if extra_column else F.lit(0)
+    offset = F.coalesce("offset", untold)
+    return told.select(F.lit(campaign).alias("campaign"), "episode", "seq", *[
+        F.get(F.array(*generic[i:i + MOST_EXTRA + 1]), offset).alias(c) for i, c in enumerate(fields)])
 
 
 def read_players(spark: SparkSession, path: str, campaign: str | None = None) -> DataFrame:

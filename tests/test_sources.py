@@ -64,6 +64,22 @@ def test_episode_files_merge_and_extra_column(spark, tmp_path):
     assert rows[2].time == "0:05" and rows[0].cast_at == "2"
 
 
+def test_headers_tell_the_extra_columns(spark, tmp_path):
+    header = "Time\tCharacter\tSpell\tBase Lvl\tCast At\tNotes\n"
+    files = {1: header + "1\ttime\tBless\t1\t2\t\n", 2: "\t" + header + "9\t2\tNott\tTime\t1\t2\tn\n",
+             3: "a\tb\t" + header.upper() + "8\t9\t3\tNott\tAid\tCantrip\t2\n", 4: "no\theader\n4\tCaleb\tHex\t1\t1\t\n",
+             5: header, 6: "x\ty\n0\t6\tTime\tCharacter\t1\t1\t\n", 7: ""}
+    for episode, text in files.items():
+        (tmp_path / f"a b-{episode}.tsv").write_text(text)
+    log = logs.read_episode_files(spark, str(tmp_path), "c", logs.SPELL_COLUMNS, extra_column=(6, 9))
+    assert [tuple(r)[1:2] + tuple(r)[3:] for r in log.orderBy("seq").collect()] == [
+        (1, "1", "time", "Bless", "1", "2", None), (2, "2", "Nott", "Time", "1", "2", "n"),
+        (3, "3", "Nott", "Aid", "Cantrip", "2", None), (4, "4", "Caleb", "Hex", "1", "1", None),
+        (6, "6", "Time", "Character", "1", "1", None)]
+    offsets = logs.header_offsets(spark, str(tmp_path), logs.SPELL_COLUMNS[1:]).collect()
+    assert {tuple(r) for r in offsets} == {(f"a b-{k}.tsv", n) for k, n in ((1, 0), (2, 1), (3, 2), (5, 0))}
+
+
 def dialogue_file(path, turns):
     path.write_text(json.dumps({"TURNS": [{"NAMES": n, "UTTERANCES": u} for n, u in turns]}))
 
