@@ -466,6 +466,15 @@ ORACLES["context_window_text"] = sql(
         f"SELECT concat({quoted(fixed.PLAYER_PROMPT_HEAD)}, string_agg(concat(player, ' plays the character ', character, "
         f"'.'), chr(10) ORDER BY first_seq), {quoted(fixed.PLAYER_PROMPT_TAIL)}) AS prompt FROM players")})
 
+ODD = "window_key IN ('w0', 'w2', 'w4') AND episode % 16 < 10"
+ORACLES["stored_context_text"] = sql(
+    "SELECT window_key, campaign, CAST(1 AS BIGINT) AS part, string_agg(concat("
+    f"{quoted(fixed.EPISODE_START)}, body, {quoted(fixed.EPISODE_END)}), concat(chr(10), chr(10)) ORDER BY episode) AS text "
+    f"FROM windows JOIN (SELECT {EK}, string_agg(concat(line, chr(10)), '' ORDER BY seq) AS body FROM lines GROUP BY {EK}) "
+    f"USING (campaign, episode) WHERE {ODD} GROUP BY window_key, campaign", "windows", "lines")
+ORACLES["stored_window_rolls"] = sql(
+    count_per("roll_type", VALID_TYPE).format(by=WK, src=f"(SELECT * FROM roll_w WHERE {ODD})"), "roll_w")
+
 # --- evaluation planning ---------------------------------------------------------------------------------------------
 LEN = "CAST(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS BIGINT)"
 ORACLES["context_len"] = f"SELECT doc_id, {LEN} AS context_len FROM documents"

@@ -18,6 +18,7 @@ from ..plans import assemble, evaluation as ev, rolls as r, scoring, spells as s
 from ..session import materialize, shared_folder
 from ..sources import dialogue, results
 from ..sources.logs import SPELL_COLUMNS, player_map, read_episode_files
+from ..sources.store import Store, store_cells, store_transcripts
 from ..streaming import run_stream as rs
 from ..streaming.running_score import running_score, running_score_stream
 from ..streaming.score_stream import score_stream
@@ -317,6 +318,29 @@ def _(spark, d):
     return assemble.context_texts(members(spark, d), chunks, W, prompts).drop("parts")
 
 
+def odd_windows(spark, d) -> DataFrame:
+    """The windows of even numbers without the episodes of a third of the days, so that parts of a store stay unread."""
+    return w.number_members(window_members(spark, d).where("window_key IN ('w0', 'w2', 'w4') AND episode % 16 < 10"), W)
+
+
+@query("stored_context_text")
+def _(spark, d):
+    """Context texts of some windows from transcripts stored in buckets."""
+    store = Store(spark, fresh_folder(spark, "store"), buckets=8)
+    store_transcripts(store, dialogue.text_chunks(lines(spark, d)))
+    wanted = materialize(odd_windows(spark, d))
+    return assemble.context_texts(wanted, store.asked_for("transcripts", wanted), W).drop("parts")
+
+
+@query("stored_window_rolls")
+def _(spark, d):
+    """Rolls by type of some windows from a log stored as cells."""
+    store = Store(spark, fresh_folder(spark, "store"), buckets=8)
+    store_cells(store, t.compact(t.as_cells(rolls(spark, d)), [*E, "roll_type"]), "rolls")
+    wanted = materialize(odd_windows(spark, d))
+    return r.rolls_by_type(w.spread(store.asked_for("rolls", wanted), wanted), W)
+
+
 # --- evaluation planning -----------------------------------------------------------------------------------------
 
 def measured(spark, d):
