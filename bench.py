@@ -17,7 +17,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 BUDGET = float(os.environ.get("BENCH_BUDGET", "420"))  # seconds after which a query is timed once
-LONG = 20.0  # seconds; only a query that takes longer when warm is timed once
+LONG = 20.0  # seconds; a query that takes longer is timed once
 
 
 def timed(spark, name: str) -> float:
@@ -36,8 +36,8 @@ def main() -> None:
     seconds: dict[str, float] = {}
     start = time.perf_counter()
     for name in names:
-        timed(spark, name)
-        runs = [timed(spark, name)]
+        first = timed(spark, name)
+        runs = [first if first >= LONG else timed(spark, name)]  # a stream of many triggers hardly gains from a second run
         while len(runs) < RUNS and runs[0] < LONG and time.perf_counter() - start < BUDGET:
             runs.append(timed(spark, name))
         seconds[name] = round(statistics.median(runs), 4)

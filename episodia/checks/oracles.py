@@ -475,6 +475,11 @@ ORACLES["stored_context_text"] = sql(
 ORACLES["stored_window_rolls"] = sql(
     count_per("roll_type", VALID_TYPE).format(by=WK, src=f"(SELECT * FROM roll_w WHERE {ODD})"), "roll_w")
 
+ORACLES["window_caster_sets"] = ORACLES["window_spell_caster_count"]
+ORACLES["window_type_sets"] = sql(
+    f"SELECT {WK}, roll_type, count(DISTINCT natural_value) AS n, min(seq) AS first_seq FROM roll_w WHERE {VALID_TYPE} "
+    f"GROUP BY {WK}, roll_type HAVING count(DISTINCT natural_value) > 10", "roll_w")
+
 # --- evaluation planning ---------------------------------------------------------------------------------------------
 LEN = "CAST(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS BIGINT)"
 ORACLES["context_len"] = f"SELECT doc_id, {LEN} AS context_len FROM documents"
@@ -632,6 +637,9 @@ ORACLES["run_stream_parts"] = sql(
     f"FROM (SELECT (SELECT count(*) FROM boxed_outputs) AS n, CAST(sum({DEC}) AS DOUBLE) AS correct FROM streamed)",
     "boxed_outputs", extra=STREAMED)
 
+ORACLES["free_dates"] = (
+    "SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS day FROM events")
+
 # --- files written and read again: the oracle works on the rows before they were written ---------------------------
 ORACLES["log_files_edges"] = sql(
     "SELECT campaign, episode, count(*) AS n, arg_min(character, seq) AS first_character, "
@@ -640,6 +648,15 @@ ORACLES["log_files_edges"] = sql(
 ORACLES["episode_files"] = sql(
     "SELECT campaign, episode, count(*) AS n, arg_min(coalesce(spell, '-'), seq) AS first_spell, arg_max(character, seq) AS "
     "last_character, count(cast_at) AS n_cast, count(*) AS n_time FROM spell_log GROUP BY 1, 2", "spell_log")
+# rows count in the order of the steps their files came in
+STEPPED = {"roll_log": ("SELECT * REPLACE (seq + 1000000000000 * (CASE WHEN seq % 3 = 0 THEN 0 WHEN episode % 9 = 4 THEN 2 ELSE 1 END) "
+                        "AS seq) FROM (" + CTES["roll_log"] + ")"),
+           "windows": CTES["windows"], "roll_w": CTES["roll_w"]}
+ORACLES["kept_answers"] = "WITH " + ", ".join(f"{n} AS ({q})" for n, q in STEPPED.items()) + (
+    " SELECT window_key, campaign, 'roll_type_mode' AS question, '' AS key, answer FROM ("
+    + ties("roll_type", "max", "roll_type").format(by=WK, src="roll_w") + ") UNION ALL SELECT window_key, campaign, 'rolls_by_type', "
+    "roll_type, CAST(n AS VARCHAR) FROM (" + count_per("roll_type", VALID_TYPE).format(by=WK, src="roll_w") + ") UNION ALL "
+    "SELECT window_key, campaign, 'roll_type_rarest', '', answer FROM (" + ties("roll_type", "min", "first_seq").format(by=WK, src="roll_w") + ")")
 TEXTS = ("SELECT campaign, episode, string_agg(line, chr(10) ORDER BY seq){0} AS text FROM lines {1} GROUP BY 1, 2")
 ORACLES["transcript_files"] = sql(
     "SELECT campaign, episode, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM ("

@@ -12,12 +12,14 @@ from ..functions import parsing, scores
 from ..functions.text import (clean_text, episodes_key, question_id, valid_character,
                               valid_roll_type, valid_spell, window_id)
 from ..functions import fixed_values as fixed
+from ..operators import distinct_sets as ds
 from ..operators import tallies as t
 from ..operators import windows as w
 from ..plans import assemble, evaluation as ev, rolls as r, scoring, spells as s
+from ..plans.refresh import KeptAnswers, listed
 from ..session import materialize, shared_folder
 from ..sources import dialogue, results
-from ..sources.logs import SPELL_COLUMNS, player_map, read_episode_files
+from ..sources.logs import ROLL_COLUMNS, SPELL_COLUMNS, player_map, read_episode_files, read_log
 from ..sources.store import Store, store_cells, store_transcripts
 from ..streaming import run_stream as rs
 from ..streaming.running_score import running_score, running_score_stream
@@ -176,6 +178,27 @@ window_only("window_first_spell_by_character", s.first_spell_by_character, ["cha
 window_only("window_last_spell_by_character", s.last_spell_by_character, ["character", "spell"])
 
 
+def window_sets(spark, d, key: str, counted: str, log=spells, valid=valid_spell) -> DataFrame:
+    """Sets of episodes, stored once, united for the windows."""
+    kept = log(spark, d).where(valid(F.col(key)))
+    cells = materialize(t.compact(t.as_cells(kept), [*E, key, counted]))
+    sets = materialize(ds.episode_sets(cells, key, counted))
+    return ds.united(w.spread(sets, window_members(spark, d)), W, key)
+
+
+@query("window_caster_sets")
+def _(spark, d):
+    """Characters by spell of every window, from bitmaps of its episodes."""
+    return ds.set_sizes(window_sets(spark, d, "spell", "character"), W, "spell").drop("first_seq")
+
+
+@query("window_type_sets")
+def _(spark, d):
+    """Roll types with more than ten different natural values in a window, and how many."""
+    sets = window_sets(spark, d, "roll_type", "natural_value", rolls, valid_roll_type)
+    return ds.shared_by_many(sets, W, "roll_type", 10)
+
+
 # --- parameters, samples and windows ------------------------------------------------------------------------
 
 @query("player_map_last_wins")
@@ -464,6 +487,31 @@ def _(spark, d):
     return scoring.score_cued(view(spark, d, "cued_outputs"), MODEL).drop("dataset")
 
 
+#: forty writings of a date
+DATE_FORMS = (
+    "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "MMM. d, yyyy", "d MMMM yyyy", "d MMMM, yyyy", "d MMM yyyy",
+    "dd-MMM-yyyy", "dd.MMM.yyyy", "d/MMM/yyyy", "yyyy MMMM d", "yyyy-MMM-dd", "yyyy, MMM d", "yyyy-MM-dd", "yyyy/M/d", "yyyy.MM.dd",
+    "yyyyMMdd", "M/d/yyyy", "MM-dd-yyyy", "M.d.yyyy", "M/d/yy", "MM-dd-yy", "MMMM d, yy", "d MMM yy", "EEEE, MMMM d, yyyy",
+    "EEE, d MMM yyyy", "EEEE d MMMM yyyy", "MMMM d, yyyy (EEEE)", "d'th' 'of' MMMM yyyy", "'the' d'th' 'of' MMMM, yyyy",
+    "MMMM 'the' d'th', yyyy", "MMMM d'th' yyyy", "'on' MMMM d, yyyy", "dMMMyyyy", "MMMd,yyyy", "yyyy-MM-dd'T'00:00:00", "M/d/yyyy 00:00",
+    "yyyy d MMMM", "MMMM d, ''yy")
+
+
+@query("free_dates")
+def _(spark, d):
+    """Days of the events written in forty ways, some in capitals, and read again; every eleventh is no date."""
+    day, n = F.col("ts").cast("date"), len(DATE_FORMS)
+    form = F.col("event_id") % n
+    text = F.lit(None).cast("string")
+    for k, pattern in enumerate(DATE_FORMS):
+        written = F.regexp_replace(F.date_format(day, pattern), "[()]", "")
+        text = F.when(form == k, F.regexp_replace(written, "([0-9])th", "$1" + ("th", "st", "nd")[k % 3])).otherwise(text)
+    text = F.when(F.col("event_id") % 11 == 0, F.concat(F.date_format(day, "MMMM d"), F.lit(" at noon"))).otherwise(text)
+    shown = F.when(F.col("event_id") % 4 == 0, F.upper(text)).otherwise(F.concat(F.lit(" "), text))
+    given = table(spark, d, "events").select("event_id", shown.alias("given"))
+    return given.select("event_id", parsing.full_date(F.col("given")).cast("string").alias("day"))
+
+
 @query("score_error_rows")
 def _(spark, d):
     rows = scoring.match_outputs(datapoints(spark, d), outputs(spark, d))
@@ -673,6 +721,42 @@ def _(spark, d):
         F.count_if(F.col("time") == "0:01").alias("n_time"))
 
 
+ANSWERS = "window_key string, campaign string, question string, key string, answer string"
+
+
+def roll_answers(cells: DataFrame, by) -> DataFrame:
+    mode = r.roll_type_mode(cells, by).select(*by, F.lit("roll_type_mode").alias("question"), F.lit("").alias("key"), "answer")
+    counts = r.rolls_by_type(cells, by).select(
+        *by, F.lit("rolls_by_type").alias("question"), F.col("roll_type").alias("key"), F.col("n").cast("string").alias("answer"))
+    rarest = r.roll_type_rarest(cells, by).select(*by, F.lit("roll_type_rarest").alias("question"), F.lit("").alias("key"), "answer")
+    return mode.union(counts).union(rarest)
+
+
+@query("kept_answers")
+def _(spark, d):
+    """Answers over a log that comes in three steps of files, the last for a few episodes, refreshed after each."""
+    folder = fresh_folder(spark, "kept")
+    log = rolls(spark, d).select(
+        "seq", "campaign", F.col("episode").cast("string").alias("episode"), F.lit("0").alias("time"), "character", "roll_type",
+        F.lit("1").alias("total_value"), "natural_value")
+    # the log is in the order of its steps and files, as its oracle reads it
+    rank = F.when(F.col("seq") % 3 == 0, 0).when(F.col("episode") % 9 == 4, 2).otherwise(1)
+    kept = KeptAnswers(spark, f"{folder}/kept", ["roll_type"], roll_answers, ANSWERS)
+    wins = window_members(spark, d)
+
+    def read(paths: list[str]) -> DataFrame:
+        parts = [read_log(spark, own, c, ROLL_COLUMNS) for c in fixed.SPLIT_BY_CAMPAIGN if (own := [p for p in paths if f"/{c}/" in p])]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    for step in range(3):
+        for campaign in fixed.SPLIT_BY_CAMPAIGN:
+            part = log.where((F.col("campaign") == campaign) & (rank == step)).repartitionByRange(2, "seq").sortWithinPartitions("seq")
+            (part.drop("seq", "campaign").write.option("sep", "\t").option("header", True).option("ignoreLeadingWhiteSpace", False)
+             .option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/logs/{campaign}/{step}"))
+        kept.refresh(listed(spark, f"{folder}/logs/*/*", "*.csv"), read, wins)
+    return kept.answers().select("window_key", "campaign", "question", "key", "answer")
+
+
 def dialogue_files(spark, d) -> str:
     """Conversations as one dialogue file each, of two campaigns and of none."""
     folder = fresh_folder(spark, "dialogues")

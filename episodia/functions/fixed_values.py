@@ -54,6 +54,12 @@ DATE_FORMATS = (
     "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy",
     "d MMMM yyyy", "d MMMM, yyyy", "d MMM yyyy", "d MMM, yyyy", "d-MMM-yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy MMMM d",
 )
+# words of free dates; a month counts by its number here, and fillers say nothing
+MONTHS = {name: k // 2 + 1 for k, name in enumerate((
+    "january", "jan", "february", "feb", "march", "mar", "april", "apr", "may", "may", "june", "jun", "july", "jul",
+    "august", "aug", "september", "sep", "october", "oct", "november", "nov", "december", "dec"))} | {"sept": 9}
+DATE_FILLERS = ("of", "the", "on", "monday", "mon", "tuesday", "tue", "tues", "wednesday", "wed", "thursday", "thu", "thur", "thurs",
+                "friday", "fri", "saturday", "sat", "sunday", "sun")
 SYSTEM_TEXT = "You are a helpful assistant."
 FILTERED_OUTPUT = "CONTENT_FILTERED"
 

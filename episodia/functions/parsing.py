@@ -6,6 +6,8 @@ per row and stays inside generated code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,10 +135,58 @@ def whole_number(text: Column) -> Column:
     return F.when(bare.rlike(WHOLE_NUMBER), F.replace(bare, F.lit("_"), F.lit(""))).try_cast("bigint")
 
 
+#: Orders of the parts of a free date: what its three tokens are (M a month word, Y four digits, N one or two), and the
+#: places of year, month and day among them. Of two plain numbers the first is the month, unless it can only be a day.
+DATE_ORDERS = {"MNY": (2, 0, 1), "NMY": (2, 1, 0), "YMN": (0, 1, 2), "YNM": (0, 2, 1), "YNN": (0, 1, 2),
+               "NNY": (2, 0, 1), "MNN": (2, 0, 1), "NMN": (2, 1, 0), "NNN": (2, 0, 1)}
+PIVOT_YEAR = 69  # two digits below it are of this century
+
+
+def free_date(text: Column) -> Column:
+    """Date of a text of a day, a month and a year in any usual order and writing, else null.
+
+    The text is cut into tokens at blanks and marks and between letters and digits; weekdays, "of", "the" and ordinal
+    endings go. What kinds of tokens are left decides the order of the parts.
+    """
+    bare = F.regexp_replace(F.lower(strip(text)), r"[t ]+00:00(:00)?z?$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"([0-9])(st|nd|rd|th)\b", "$1"), r"([0-9])([a-z])", "$1 $2")
+    tokens = F.split(F.regexp_replace(bare, r"([a-z])([0-9])", "$1 $2"), r"[\s,./'\u2019-]+")
+    months = F.create_map(*[F.lit(v) for pair in fixed.MONTHS.items() for v in pair])
+
+    def kind(token: Column) -> Column:
+        return (F.when(F.map_contains_key(months, token), "M").when(token.rlike("^[0-9]{4}$"), "Y")
+                .when(token.rlike("^[0-9]{1,2}$"), "N").otherwise("-"))
+
+    def part(token: Column) -> Column:
+        return F.struct(kind(token).alias("kind"), F.coalesce(F.try_element_at(months, token), token.try_cast("int")).alias("n"))
+
+    said = F.filter(tokens, lambda x: (x != "") & ~x.isin(*fixed.DATE_FILLERS))
+    return once(F.transform(said, part), lambda parts: once(F.array_join(parts["kind"], ""), lambda order: _dated(parts["n"], order)))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often it is read."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _dated(numbers: Column, order: Column) -> Column:
+    found = F.lit(None).cast("date")
+    for kinds, places in DATE_ORDERS.items():
+        year, month, day = (F.get(numbers, F.lit(p)) for p in places)
+        if kinds[places[0]] == "N":
+            year = year + F.when(year < PIVOT_YEAR, 2000).otherwise(1900)
+        if kinds[:2] == "NN":
+            month, day = F.when(month > 12, day).otherwise(month), F.when(month > 12, month).otherwise(day)
+        text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string"))
+        found = F.when(order == kinds, F.try_to_date(text, "yyyy-M-d")).otherwise(found)
+    return found
+
+
 def full_date(text: Column, formats: tuple[str, ...] = fixed.DATE_FORMATS) -> Column:
-    """Date of a text in one of ``formats``; month names in any case, a weekday, ordinal endings and midnight aside."""
+    """Date of a text in one of ``formats``, month names in any case, a weekday, ordinal endings and midnight aside; or else
+    of a free text of its three parts."""
     bare = F.regexp_replace(strip(text), r"(?i)^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?,? +", "")
     bare = F.regexp_replace(bare, r"[ T]+00:00(:00)?$", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)([0-9])(st|nd|rd|th)\b", "$1"), r"(?i)\b([a-z]{3,9})\.", "$1")
     bare = F.initcap(F.lower(F.regexp_replace(bare, " +", " ")))
-    return F.coalesce(*[F.try_to_date(bare, fmt) for fmt in formats])
+    return F.coalesce(*[F.try_to_date(bare, fmt) for fmt in formats], free_date(text))
