@@ -34,6 +34,15 @@ TEMPLATES = {
     "text:mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
+# the word without which a notice says nothing of that license; texts of licenses are long enough to need none
+NAMES = {
+    "notice:apache-2.0": "apache",
+    "notice:cc-by-4.0": "commons",
+    "notice:gpl-3.0": "gnu",
+    "notice:mit": "mit",
+    "text:mpl-2.0": "mozilla",
+}
+
 # ---------------------------------------------------------------------------------------------------------------
 
 CONTAINMENT = 0.8
@@ -92,8 +101,9 @@ def token_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def contained_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = CONTAINMENT,
-                        stretch: int = STRETCH) -> DataFrame:
-    """(doc_id, label, score): templates of which a window of the text holds at least ``threshold`` of the tokens.
+                        stretch: int = STRETCH, names: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, label, score): templates of which a window of the text holds at least ``threshold`` of the tokens, and
+    among them the one that ``names`` gives for the label.
 
     A window is ``stretch`` times as many words as the template has, in a row, whatever the lines. Tokens are
     ranked by their frequency in all documents, rarest first. A template of n tokens needs a =
@@ -112,9 +122,9 @@ def contained_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
         ranked = sorted(set(held), key=place.get)
         needed = math.ceil(threshold * len(ranked) - 1e-9)
         index += [{"token": t, "label": label, "i": i, "needed": needed, "template": ranked,
-                   "span": stretch * len(held)} for i, t in enumerate(ranked[:len(ranked) - needed + 1])]
+                   "name": (names or {}).get(label), "span": stretch * len(held)} for i, t in enumerate(ranked[:len(ranked) - needed + 1])]
     prefix = literal_table(docs.sparkSession, index,
-                           "token string, label string, i int, needed int, template array<string>, span int")
+                           "token string, label string, i int, needed int, template array<string>, name string, span int")
     ranked_vocabulary = F.array(*map(F.lit, order))
     rare = sorted({r["token"] for r in index})
     reach = max(r["span"] for r in index) - 1
@@ -140,8 +150,9 @@ def contained_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
            .withColumn("held", F.array_intersect(ranked_vocabulary, F.col("near"))))
     n, i, j = F.size("template"), F.col("i"), F.array_position("held", F.col("token")).cast("int") - 1
     possible = F.least(i, j) + 1 + F.least(n - i - 1, F.size("held") - j - 1)
-    windows = F.transform(F.sequence(F.lit(1), F.col("at") + 1), lambda first: F.size(
-        F.array_intersect("template", F.slice("near", first, F.col("span")))))
+    windows = F.transform(F.sequence(F.lit(1), F.col("at") + 1), lambda first: let(
+        F.array_intersect("template", F.slice("near", first, F.col("span"))),
+        lambda common: F.when(F.col("name").isNull() | F.array_contains(common, F.col("name")), F.size(common)).otherwise(0)))
     return (met.where(F.size("held") >= F.col("needed")).where(possible >= F.col("needed"))
             .where(F.size(F.array_intersect("template", "near")) >= F.col("needed"))
             .select("doc_id", "label", "needed", n.alias("n"), F.array_max(windows).alias("overlap"))
@@ -150,7 +161,7 @@ def contained_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES,
                  threshold: float = CONTAINMENT) -> DataFrame:
-    """Per row the places of the phrases, and labels of phrases and of contained templates.
+    """Per row the places of the phrases, and labels of phrases and of contained templates with their ``NAMES``.
 
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. ``score`` is the
     largest share of a template that a window holds, 0 where no template reaches the threshold. Null and empty
@@ -158,7 +169,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    found = contained_templates(docs, templates, threshold).groupBy(F.col("doc_id").alias("found_id")).agg(
+    found = contained_templates(docs, templates, threshold, names=NAMES).groupBy(F.col("doc_id").alias("found_id")).agg(
         F.collect_set("label").alias("more"), F.max("score").alias("score"))  # as many labels as templates at most
     none = F.array().cast("array<string>")
     return (phrase_places(docs, phrases).join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")

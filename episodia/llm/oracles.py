@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from .decontam import WINDOW
-from .licenses import CONTAINMENT, LETTERS, PHRASES, TEMPLATES
+from .licenses import CONTAINMENT, LETTERS, NAMES, PHRASES, TEMPLATES
 
 ORACLES: dict[str, str] = {}
 
 _PHRASES = " UNION ALL ".join(
     f"SELECT doc_id, pos, '{label}' AS label FROM words WHERE "
     + " AND ".join(f"w{i} = '{w}'" for i, w in enumerate(phrase.split())) for phrase, label in PHRASES.items())
-_TEMPLATES = ", ".join("('{}', '{}')".format(*pair) for pair in TEMPLATES.items())
+_TEMPLATES = ", ".join(f"('{label}', '{text}', '{NAMES.get(label, '')}')" for label, text in TEMPLATES.items())
 ORACLES["op5_license_scan"] = f"""
 WITH texts AS (
   SELECT doc_id, translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}') t FROM documents),
@@ -24,14 +24,15 @@ base AS (
   SELECT doc_id, count(*) n_base, min(pos) first_word, max(pos) last_word, list_distinct(list(label)) labels
   FROM hits GROUP BY doc_id),
 templates AS (
-  SELECT label, list_distinct(regexp_extract_all(lower(t), '[0-9a-z]+')) tokens
-  FROM (VALUES {_TEMPLATES}) AS x(label, t)),
+  SELECT label, name, list_distinct(regexp_extract_all(lower(t), '[0-9a-z]+')) tokens
+  FROM (VALUES {_TEMPLATES}) AS x(label, t, name)),
 blocks AS (
   SELECT doc_id, list_distinct(regexp_extract_all(line, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) tokens
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) line FROM texts)),
 held AS (
   SELECT doc_id, label, len(list_intersect(b.tokens, t.tokens)) / len(t.tokens) score
-  FROM blocks b, templates t WHERE len(list_intersect(b.tokens, t.tokens)) >= {CONTAINMENT} * len(t.tokens) - 1e-9),
+  FROM blocks b, templates t WHERE len(list_intersect(b.tokens, t.tokens)) >= {CONTAINMENT} * len(t.tokens) - 1e-9
+    AND (name = '' OR list_contains(b.tokens, name))),
 more AS (SELECT doc_id, list_distinct(list(label)) labels, max(score) score FROM held GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

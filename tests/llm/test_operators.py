@@ -101,6 +101,15 @@ def test_templates_are_found_across_lines_and_not_across_long_ones(spark):
     assert got[rows.index(spread[0])] == {}
 
 
+def test_notices_need_the_name_of_their_license(spark):
+    texts = ["the license under which the report was released", "Released under the Apache License", "released under\nthe MIT license",
+             "Released under MIT License", "this work is licensed under the general public license version 3",
+             "Licensed under the License, Version 2.0", "under the terms of the Apache License, Version 2.0 licensed"]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {
+        0: "", 1: "apache", 2: "mit,notice:mit", 3: "mit,notice:mit", 4: "", 5: "", 6: "apache,notice:apache-2.0"}
+
+
 # --- language identification --------------------------------------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
