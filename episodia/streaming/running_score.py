@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scores import exact
 from ..operators.ordered import running_totals, seq_levels, sorted_positions
 from ..plans.scoring import resolve_filtered, score_boxed
-from ..session import materialize
+from ..session import keyed_state, materialize
 from .ledger import Ledger
 from .open_batch import CLOSED, OpenBatch
 
@@ -82,8 +82,9 @@ def running_score_stream(outputs: DataFrame, gold: DataFrame, plan: DataFrame, f
     Batches count in the order of their numbers, which ``plan`` (id, batch_id) gives from 0 without gaps.
     """
     closed = closed_batches(outputs, gold, plan, time_column, late, patience, scorer)
-    return (closed.writeStream.foreachBatch(lambda rows, trigger: release(rows.sparkSession, folder, rows, trigger, step))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with keyed_state(outputs.sparkSession):
+        return (closed.writeStream.foreachBatch(lambda rows, trigger: release(rows.sparkSession, folder, rows, trigger, step))
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def running_score(spark: SparkSession, folder: str) -> DataFrame:

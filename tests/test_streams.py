@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from episodia.session import materialize
+from episodia.session import STATE_STORE, materialize
 from episodia.streaming import run_stream as rs
 from episodia.streaming.ledger import Ledger
 from episodia.streaming.running_score import running_score, running_score_stream
@@ -89,6 +89,20 @@ def test_state_goes_with_its_batches(spark, asked, tmp_path):
     assert state_rows(spark, tmp_path).count() == 0
 
 
+def test_running_score_starts_in_a_session_with_the_default_state_store(spark, asked, tmp_path):
+    own, plain = spark.conf.get(STATE_STORE), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    stream = Stream(spark, tmp_path)
+    stream.add(*[(f"q{k}", box(7), "stop", "2024-01-01 12:00:00") for k in range(3)])
+    spark.conf.set(STATE_STORE, plain)
+    try:
+        running_score_stream(stream.frame(), asked.drop("batch_id"), asked.select("id", "batch_id"), f"{tmp_path}/run",
+                             f"{tmp_path}/c").awaitTermination()
+        assert spark.conf.get(STATE_STORE) == plain
+    finally:
+        spark.conf.set(STATE_STORE, own)
+    assert shown(spark, f"{tmp_path}/run") == [(0, 3, 0, 3, 1.0)]
+
+
 class Broken(Exception):
     pass
 
