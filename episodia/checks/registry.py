@@ -762,7 +762,7 @@ def dialogue_files(spark, d) -> str:
     folder = fresh_folder(spark, "dialogues")
     turns = view(spark, d, "turns").select(
         F.concat(F.when(F.col("episode") % 10 == 7, "X").when(F.col("campaign") == "campaign1", "C1").otherwise("C2"), F.lit("E"),
-                 F.lpad(F.col("episode").cast("string"), 3, "0"), F.lit(".json")).alias("name"), "seq",
+                 F.format_string("%03d", "episode"), F.lit(".json")).alias("name"), "seq",
         F.struct(F.when(F.col("seq") % 3 == 1, F.array("name", F.lit("GUEST"))).otherwise(F.array("name")).alias("NAMES"),
                  F.split("utterance", " ").alias("UTTERANCES")).alias("turn"))
     rows = turns.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("seq", "turn"))).alias("turns")).select(

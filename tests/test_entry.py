@@ -40,6 +40,15 @@ def test_query_equals_oracle(spark, tiny, oracle, name):
     assert comparable(df.select(*columns).collect()) == rows
 
 
+def test_transcript_files_of_episodes_over_999(spark, tmp_path):
+    rows = [(conv, turn, "user", f"said {conv} {turn}") for conv in (100, 1000, 1001, 10007, 123456) for turn in range(2)]
+    spark.createDataFrame(rows, SCHEMAS["conversations"]).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = QUERIES["transcript_files"](spark, str(tmp_path)).select("campaign", "episode", "chars", "text_md5").collect()
+    assert comparable(found) == comparable(con.execute(ORACLES["transcript_files"]).fetchall())
+
+
 def test_contract(spark):
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
     assert set(QUERIES) == set(ORACLES)
