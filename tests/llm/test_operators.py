@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from episodia.llm import (graph, langid, language_model as lm, licenses, mixing, near_dedup, oracles, packing, quality,
@@ -450,6 +451,33 @@ def test_quality_counts_and_ratio(spark, tiny, docs, texts):
         assert r["kept"] == (not r["base_failed"] and llr >= quality.THRESHOLD)
 
 
+def test_quality_learns_from_every_trusted_document(spark):
+    """10,500 documents are trusted; the last 500 by hash alone hold the word that the model must know as theirs."""
+    ids = spark.range(10_500).select(F.col("id").alias("doc_id"), F.row_number().over(
+        Window.orderBy(F.xxhash64("id"), "id")).alias("place"))
+    docs = ids.select("doc_id", F.when(F.col("place") > 10_000, "late").otherwise("early").alias("text"))
+    both = docs.union(docs.select(F.col("doc_id") + 10_500, "text"))
+    rows = quality.quality_rules(both, ids.select("doc_id", F.lit(1).alias("quality")), threshold=0.0)
+    found = {r["word_chars"]: r["llr"] for r in rows.select("word_chars", "llr").distinct().collect()}
+    assert found[4] == pytest.approx(found[5], abs=1e-2)  # as common among the trusted as among all
+
+
+def test_quality_cut_is_the_exact_quantile(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_HELD", 3)
+    monkeypatch.setattr(quality, "base_failed", lambda n_words, n_repeat_words: n_words < 0)
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j % 7}" for j in range(1, 6))) for k in range(20)], "doc_id long, text string")
+    trusted = quality.trusted_folds(docs.select("doc_id", F.lit(1).alias("quality")))
+    counts = quality.gram_counts(docs, trusted, quality.BUCKETS)
+    scores = []
+    for fold in range(quality.FOLDS):
+        words = quality.words_of(F.col("text"))
+        ratio = quality.mean_ratio(quality.constant(quality.log_ratios(counts, quality.BUCKETS, fold)), words, F.size(words), quality.BUCKETS)
+        scores += [r[0] for r in docs.join(trusted.where(F.col("fold") == fold), F.col("doc_id") == F.col("trusted_id")).select(ratio).collect()]
+    for share in (0.002, 0.3, 1.0):
+        monkeypatch.setattr(quality, "LOW_SHARE", share)
+        assert quality.held_out_cut(docs, trusted, counts) == pytest.approx(np.quantile(scores, share) - quality.MARGIN)
+
+
 def test_quality_cut_parts_the_labels_in_every_language(spark):
     """Half of the trusted documents are held out; no labelled low-quality document may be kept."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
