@@ -33,6 +33,7 @@ QUERIES: dict[str, Query] = {}
 BATCH_SIZE = 8
 STREAM_BATCH_SIZE = 16
 MODEL = "m1"
+RENAMING = 16  # files renamed at a time
 
 
 def query(name: str):
@@ -686,16 +687,27 @@ def read_log_rows(spark, folder: str) -> DataFrame:
 
 
 def named_files(spark, rows: DataFrame, folder: str, name: str, write) -> None:
-    """Write one file for each value of the column ``name`` and call it so; only names pass through the driver."""
+    """Write one file for each value of the column ``name`` and call it so; only names pass through the driver.
+
+    The files are listed in one go and renamed by many threads: a folder asked for at a time takes most of the run.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     parts = f"{folder}-parts"
     write(rows.repartition(name).sortWithinPartitions(name, "seq").drop("seq").write.partitionBy(name), parts)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = path(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(path(folder))
-    for found in system.listStatus(path(parts)):
-        value = found.getPath().getName().partition("=")[2]
-        for file in system.listStatus(found.getPath()) if value else ():
-            system.rename(file.getPath(), path(f"{folder}/{value}"))
+
+    def rename(found) -> None:
+        file = found.getPath()
+        value = file.getParent().getName().partition("=")[2]
+        if not system.rename(file, path(f"{folder}/{value}")):
+            raise OSError(f"a file was not renamed to {folder}/{value}")
+
+    with ThreadPoolExecutor(RENAMING) as pool:
+        for _ in pool.map(rename, system.globStatus(path(f"{parts}/*=*/part-*"))):
+            pass
 
 
 @query("episode_files")
