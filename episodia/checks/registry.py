@@ -34,6 +34,7 @@ BATCH_SIZE = 8
 STREAM_BATCH_SIZE = 16
 MODEL = "m1"
 RENAMING = 16  # files renamed at a time
+ROWS_A_FILE = 200_000  # of all arriving outputs
 
 
 def query(name: str):
@@ -602,16 +603,16 @@ def arriving_outputs(spark, d, folder: str) -> DataFrame:
     then one late output of no question, which moves the watermark on."""
     given = view(spark, d, "boxed_outputs").select("id", "output", "finish_reason")
     schema = T.StructType([*results.OUTPUT_ROW.fields, T.StructField("time", T.TimestampType())])
+    files = 1 + given.count() // ROWS_A_FILE  # of a share, and a trigger takes as many
 
-    def write(rows: DataFrame, day: int) -> None:
+    def write(rows: DataFrame, day: int, files: int) -> None:
         timed = rows.withColumn("time", F.lit(f"2024-01-{day:02} 12:00:00").cast("timestamp"))
-        timed.coalesce(1).write.mode("append").json(folder)
+        timed.repartition(files).write.mode("append").json(folder)
 
     for share in range(3):
-        again = given.where(f"crc32(id) % 3 < {share} AND crc32(id) % 5 = 0")
-        write(given.where(f"crc32(id) % 3 = {share}").union(again), 1)
-    write(spark.range(1).select(F.lit("none").alias("id"), F.lit("").alias("output"), F.lit("stop").alias("finish_reason")), 20)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder)
+        write(given.where(f"crc32(id) % 3 = {share} OR crc32(id) % 3 < {share} AND crc32(id) % 5 = 0"), 1, files)
+    write(spark.range(1).select(F.lit("none").alias("id"), F.lit("").alias("output"), F.lit("stop").alias("finish_reason")), 20, 1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
 
 
 def stream_plan(spark, d) -> DataFrame:

@@ -71,11 +71,11 @@ def read_outputs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OUTPUT_ROW).json(path)
 
 
-def as_scored(rows: DataFrame) -> DataFrame:
-    """Bring scored rows of any kind to the common nullable schema."""
+def as_scored(rows: DataFrame, *more: str) -> DataFrame:
+    """Bring scored rows of any kind to the common nullable schema, with the columns ``more`` after it."""
     return rows.select(*[
         (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in SCORED_ROW.fields])
+        for f in SCORED_ROW.fields], *more)
 
 
 def append_scored(rows: DataFrame, path: str) -> None:

@@ -49,10 +49,18 @@ class Ledger:
         rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("trigger", T.LongType())])).parquet(path)
         return rows.where(F.col("trigger") <= last["number"] if trigger is None else F.col("trigger") == trigger)
 
-    def commit(self, trigger: int, parts: dict[str, DataFrame], totals: Callable[[], dict],
+    def written(self, name: str, schema: str, trigger: int) -> DataFrame:
+        """A part of the trigger that is being committed, as it stands by now."""
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/trigger={trigger}")
+
+    def commit(self, trigger: int, parts: dict[str, DataFrame | Callable[[], DataFrame]], totals: Callable[[], dict],
                step: Callable[[str], None] | None = None) -> None:
-        """Write ``parts``, then the entry with ``totals``, computed when the parts stand. ``step`` hears of each part."""
+        """Write ``parts``, then the entry with ``totals``, computed when the parts stand. ``step`` hears of each part.
+
+        A part that is made from those before it is given as a function, called when they are written.
+        """
         for name, rows in parts.items():
+            rows = rows if isinstance(rows, DataFrame) else rows()
             rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/trigger={trigger}")
             if step:
                 step(name)

@@ -33,24 +33,29 @@ def commit_outputs(spark: SparkSession, folder: str, outputs: DataFrame, asked:
     last = ledger.last()
     if ledger.is_done(trigger, last):
         return
-    single = materialize(scoring.one_output(outputs))
-    resolved = scoring.resolve_filtered(single)
-    finished = ledger.part("ids", "id string")
-    fresh = ev.pending(resolved.where("output is not null").select("id", "output"), finished)
-    # one task writes each bucket of rows, which later triggers and the batch sums read instead of scoring again
-    scored = materialize(scoring.as_scored(scorer(fresh.join(asked.drop("batch_id"), "id"), model))
-                         .join(asked.select("id", "batch_id"), "id").select(*SCORED_ROW.names, "batch_id"))
-    score = exact(F.col("score")).cast("decimal(28,12)")
-    batches = scored.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum(score).cast("decimal(28,12)").alias("batch_score"))
-    rejects = materialize(ev.pending(scoring.empty_outputs(single).select("id", "finish_reason"), finished)
-                          .join(asked.select("id"), "id", "left_semi"))
+    fresh = ev.pending(scoring.resolve_filtered(scoring.one_output(outputs)), ledger.part("ids", "id string"))
+    # the questions are as many as the whole run has, so a trigger meets them once, for its rows and rejects alike
+    met = materialize(fresh.join(asked.drop("finish_reason"), "id"))
+    # scorers hand on a row's window as it is, so its batch rides along with it
+    scored = scorer(met.where("output is not null").withColumn("context_window_id", F.struct("context_window_id", "batch_id")), model)
+    rows = scoring.as_scored(scored.withColumns({
+        "context_window_id": F.col("context_window_id.context_window_id"), "batch_id": F.col("context_window_id.batch_id")}), "batch_id")
+
+    # what follows from the rows reads them as they are written instead of scoring again
+    def batches() -> DataFrame:
+        score = exact(F.col("score")).cast("decimal(28,12)")
+        return ledger.written("rows", "batch_id long, score double", trigger).groupBy("batch_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(score).cast("decimal(28,12)").alias("batch_score"))
 
     def totals() -> dict:
-        n, total = scored.agg(F.count(F.lit(1)), F.coalesce(F.sum(score), F.lit(0)).cast("decimal(28,12)")).first()
+        n, total = ledger.written("batches", BATCHES, trigger).agg(
+            F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("batch_score"), F.lit(0)).cast("decimal(28,12)")).first()
         before = (last["n_rows"], last["sum_score"], last["n_rejects"]) if last else (0, Decimal(0), 0)
-        return {"n_rows": before[0] + n, "sum_score": before[1] + total, "n_rejects": before[2] + rejects.count()}
+        return {"n_rows": before[0] + n, "sum_score": before[1] + total,
+                "n_rejects": before[2] + ledger.written("rejects", REJECTS, trigger).count()}
 
-    ledger.commit(trigger, {"rows": scored, "batches": batches, "rejects": rejects, "ids": scored.select("id")}, totals, step)
+    ledger.commit(trigger, {"rows": rows, "batches": batches, "rejects": met.where("output is null").select("id", "finish_reason"),
+                            "ids": lambda: ledger.written("rows", "id string", trigger)}, totals, step)
 
 
 def run_stream(outputs: DataFrame, dataset: DataFrame, folder: str, checkpoint: str, model: str = "model",

@@ -34,6 +34,11 @@ def test_batches_follow_the_global_order(points):
     assert (shifted.first_row, shifted.last_row) == (100, 115)
 
 
+def test_batches_leave_the_rows_where_they_are_written(points):
+    plan = ev.batches(points[1], 16)._jdf.queryExecution().executedPlan().toString()
+    assert "row_index" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_seed_is_the_first_id_of_a_window(points):
     rows, df = points
     seeds = {r.context_window_id: r.id for r in ev.seed_and_rest(df).where("role = 'seed'").collect()}

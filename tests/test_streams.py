@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from decimal import Decimal
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from episodia.checks import registry
 from episodia.session import STATE_STORE, materialize
 from episodia.streaming import run_stream as rs
 from episodia.streaming.ledger import Ledger
@@ -135,6 +137,30 @@ def test_a_run_broken_off_anywhere_shows_each_row_once(spark, asked, tmp_path, a
     assert rs.run_rows(spark, run).count() == 4
 
 
+def test_a_trigger_meets_the_questions_once(spark, asked, tmp_path, monkeypatch):
+    stream, run, tables = Stream(spark, tmp_path), f"{tmp_path}/run", []
+    monkeypatch.setattr(rs, "materialize", lambda df: tables.append(df) or materialize(df))
+    stream.add(("q0", box(7), "stop", None), ("q4", box(7), "stop", None), ("q1", None, "length", None), ("zz", None, "length", None))
+    rs.run_stream(stream.frame().drop("time"), asked, run, f"{tmp_path}/c", "m").awaitTermination()
+    assert len(tables) == 2  # the questions, and the outputs with theirs
+    shown = rs.run_rows(spark, run).select("id", "context_window_id", "batch_id", "score").collect()
+    assert sorted(map(tuple, shown)) == [("q0", "w0", 0, 1.0), ("q4", "w1", 1, 1.0)]
+    assert [tuple(r) for r in rs.run_rejects(spark, run).collect()] == [("q1", "length")]
+    assert tuple(Ledger(spark, run, rs.TOTALS).last()[2:]) == (2, Decimal(2), 1)
+
+
+def test_outputs_arrive_in_many_files_and_a_trigger_takes_a_share(spark, tiny, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "ROWS_A_FILE", 300, raising=False)
+    stream, triggers = registry.arriving_outputs(spark, tiny, f"{tmp_path}/in"), []
+    (stream.writeStream.foreachBatch(lambda rows, n: triggers.append(sorted(r[0] for r in rows.select("id").collect())))
+     .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination())
+    ids = [str(r[0]) for r in registry.table(spark, tiny, "events").select("event_id").collect()]
+    crc = {i: zlib.crc32(i.encode()) for i in ids}
+    shares = [sorted(i for i in ids if crc[i] % 3 == s or crc[i] % 3 < s and crc[i] % 5 == 0) for s in range(3)]
+    assert triggers == [*shares, ["none"]]
+    assert len(list((tmp_path / "in").glob("part-*"))) == 3 * (1 + len(ids) // 300) + 1
+
+
 def test_ledger_refuses_another_checkpoint_and_repeats_nothing(spark, asked, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/run", "n long")
     assert ledger.last() is None and ledger.part("rows", "x long").count() == 0
