@@ -17,7 +17,7 @@ from ..operators import tallies as t
 from ..operators import windows as w
 from ..plans import assemble, evaluation as ev, rolls as r, scoring, spells as s
 from ..plans.refresh import KeptAnswers, listed
-from ..session import materialize, shared_folder
+from ..session import materialize, shared_folder, small_tasks
 from ..sources import dialogue, results
 from ..sources.logs import ROLL_COLUMNS, SPELL_COLUMNS, player_map, read_episode_files, read_log
 from ..sources.store import Store, store_cells, store_transcripts
@@ -598,16 +598,26 @@ def until_done(start) -> None:
     raise RuntimeError("the repeated stream broke off again")
 
 
-def arriving_outputs(spark, d, folder: str) -> DataFrame:
+def boxed_table(spark, d) -> DataFrame:
+    """Questions with their outputs, written once for the shares and the plan of a stream.
+
+    The events are dealt out before anything is computed from them, as a file with few row groups is read by few tasks.
+    """
+    base, _, columns = VIEWS["boxed_outputs"]
+    with small_tasks(spark):
+        return materialize(table(spark, d, base).repartition("event_id").selectExpr(*[f"{expr} AS {name}" for name, expr in columns.items()]))
+
+
+def arriving_outputs(spark, d, folder: str, boxed: DataFrame | None = None) -> DataFrame:
     """Outputs as a stream of three triggers and more: shares of the events by id, the last with repeats of the others, and
     then one late output of no question, which moves the watermark on."""
-    given = view(spark, d, "boxed_outputs").select("id", "output", "finish_reason")
+    given = (boxed_table(spark, d) if boxed is None else boxed).select("id", "output", "finish_reason")
     schema = T.StructType([*results.OUTPUT_ROW.fields, T.StructField("time", T.TimestampType())])
     files = 1 + given.count() // ROWS_A_FILE  # of a share, and a trigger takes as many
 
     def write(rows: DataFrame, day: int, files: int) -> None:
         timed = rows.withColumn("time", F.lit(f"2024-01-{day:02} 12:00:00").cast("timestamp"))
-        timed.repartition(files).write.mode("append").json(folder)
+        timed.repartition(files, "id").write.mode("append").json(folder)
 
     for share in range(3):
         write(given.where(f"crc32(id) % 3 = {share} OR crc32(id) % 3 < {share} AND crc32(id) % 5 = 0"), 1, files)
@@ -615,24 +625,26 @@ def arriving_outputs(spark, d, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
 
 
-def stream_plan(spark, d) -> DataFrame:
-    return materialize(ev.batches(datapoints(spark, d), STREAM_BATCH_SIZE))
+def stream_plan(boxed: DataFrame) -> DataFrame:
+    with small_tasks(boxed.sparkSession):
+        return materialize(ev.batches(boxed.select("id", "context_window_id", "answer"), STREAM_BATCH_SIZE).drop("row_no"))
 
 
 @query("running_score_stream")
 def _(spark, d):
     """The running score kept by a stream, which breaks off in its last trigger and goes on."""
-    folder, plan, step = fresh_folder(spark, "running"), stream_plan(spark, d), killed_once(3)
-    outputs_ = arriving_outputs(spark, d, f"{folder}/outputs")
-    until_done(lambda: running_score_stream(outputs_, datapoints(spark, d), plan.select("id", "batch_id"), f"{folder}/run",
+    boxed, folder, step = boxed_table(spark, d), fresh_folder(spark, "running"), killed_once(3)
+    plan, gold = stream_plan(boxed), boxed.select("id", "context_window_id", "answer")
+    outputs_ = arriving_outputs(spark, d, f"{folder}/outputs", boxed)
+    until_done(lambda: running_score_stream(outputs_, gold, plan.select("id", "batch_id"), f"{folder}/run",
                                             f"{folder}/progress", step=step))
     return running_score(spark, f"{folder}/run")
 
 
 def streamed_run(spark, d) -> tuple[str, DataFrame]:
     """A streamed run that breaks off between two parts of its second trigger and is repeated."""
-    folder, plan, step = fresh_folder(spark, "streamed"), stream_plan(spark, d), killed_once(6)
-    outputs_ = arriving_outputs(spark, d, f"{folder}/outputs")
+    boxed, folder, step = boxed_table(spark, d), fresh_folder(spark, "streamed"), killed_once(6)
+    plan, outputs_ = stream_plan(boxed), arriving_outputs(spark, d, f"{folder}/outputs", boxed)
     until_done(lambda: rs.run_stream(outputs_.drop("time"), plan, f"{folder}/run", f"{folder}/progress", MODEL, step=step))
     return f"{folder}/run", plan
 

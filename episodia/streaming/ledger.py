@@ -7,7 +7,7 @@ A trigger that is in the ledger already writes nothing again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -30,6 +30,11 @@ class Ledger:
         system = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return [s.getPath().getName() for s in system.listStatus(hadoop)] if system.exists(hadoop) else []
 
+    def _row(self, values: Sequence, schema: T.StructType) -> DataFrame:
+        """One row of literals: rows that Python hands over would start its workers for them."""
+        return self.spark.range(1, numPartitions=1).select(
+            *[F.lit(value).cast(f.dataType).alias(f.name) for value, f in zip(values, schema, strict=True)])
+
     def last(self) -> Row | None:
         """The newest entry: trigger, stream and totals so far. Every trigger up to it is committed."""
         triggers = sorted((int(name.split("=")[1]) for name in self._files(f"{self.folder}/ledger") if "=" in name), reverse=True)
@@ -43,10 +48,11 @@ class Ledger:
         """Committed rows of a part, of all triggers or of one; ``trigger`` is a column, by which folders are left out."""
         if isinstance(schema, str):
             schema = T._parse_datatype_string(schema)
+        schema = T.StructType([*schema.fields, T.StructField("trigger", T.LongType())])
         last, path = self.last(), f"{self.folder}/{name}"
         if last is None or not self._files(path):
-            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("trigger", T.LongType())]))
-        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("trigger", T.LongType())])).parquet(path)
+            return self._row([None] * len(schema), schema).where(F.lit(False))
+        rows = self.spark.read.schema(schema).parquet(path)
         return rows.where(F.col("trigger") <= last["number"] if trigger is None else F.col("trigger") == trigger)
 
     def written(self, name: str, schema: str, trigger: int) -> DataFrame:
@@ -64,9 +70,9 @@ class Ledger:
             rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/trigger={trigger}")
             if step:
                 step(name)
-        entry = [(trigger, self.stream(), *totals().values())]
-        (self.spark.createDataFrame(entry, f"number long, stream string, {self.totals}").coalesce(1)
-         .write.mode("overwrite").json(f"{self.folder}/ledger/trigger={trigger}"))
+        entry = self._row([trigger, self.stream(), *totals().values()],
+                          T._parse_datatype_string(f"number long, stream string, {self.totals}"))
+        entry.write.mode("overwrite").json(f"{self.folder}/ledger/trigger={trigger}")
 
     def stream(self) -> str:
         return self.spark.sparkContext.getLocalProperty(QUERY_ID) or "batch"

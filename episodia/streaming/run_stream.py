@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scores import exact
 from ..plans import evaluation as ev
 from ..plans import scoring
-from ..session import materialize
+from ..session import materialize, small_tasks
 from ..sources.results import SCORED_ROW
 from .ledger import Ledger
 
@@ -66,9 +66,10 @@ def run_stream(outputs: DataFrame, dataset: DataFrame, folder: str, checkpoint:
     once; nothing of it can be read before its commit.
     """
     asked = materialize(dataset)
-    return (outputs.writeStream
-            .foreachBatch(lambda rows, trigger: commit_outputs(rows.sparkSession, folder, rows, asked, trigger, model, scorer, step))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with small_tasks(outputs.sparkSession):
+        return (outputs.writeStream
+                .foreachBatch(lambda rows, trigger: commit_outputs(rows.sparkSession, folder, rows, asked, trigger, model, scorer, step))
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def run_rows(spark: SparkSession, folder: str) -> DataFrame:

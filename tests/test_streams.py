@@ -9,8 +9,8 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from episodia.checks import registry
-from episodia.session import STATE_STORE, materialize
+from episodia.checks import registry, views
+from episodia.session import STATE_STORE, materialize, small_tasks
 from episodia.streaming import run_stream as rs
 from episodia.streaming.ledger import Ledger
 from episodia.streaming.running_score import running_score, running_score_stream
@@ -174,3 +174,45 @@ def test_ledger_refuses_another_checkpoint_and_repeats_nothing(spark, asked, tmp
     other.stream = lambda: "another"
     with pytest.raises(ValueError, match="belongs to the stream"):
         other.is_done(2, other.last())
+
+
+def test_a_streamed_run_reads_the_events_once(spark, tiny, monkeypatch):
+    read, table = [], views.table
+
+    def counted(spark_, d, name):
+        read.append(name)
+        return table(spark_, d, name)
+
+    for module in (registry, views):
+        monkeypatch.setattr(module, "table", counted)
+    folder, plan = registry.streamed_run(spark, tiny)
+    assert read == ["events"]
+    assert plan.count() == table(spark, tiny, "events").count() and rs.run_rows(spark, folder).count() > 0
+
+
+def test_a_written_table_is_not_written_again(spark, asked, tmp_path, monkeypatch):
+    tables = []
+    monkeypatch.setattr(rs, "materialize", lambda df: tables.append(materialize(df)) or tables[-1])
+    stream = Stream(spark, tmp_path)
+    stream.add(("q0", box(7), "stop", None))
+    rs.run_stream(stream.frame().drop("time"), asked, f"{tmp_path}/run", f"{tmp_path}/c", "m").awaitTermination()
+    assert tables[0] is asked  # the questions stay where they are
+    assert materialize(asked.where("batch_id = 0")) is not asked
+
+
+def test_a_ledger_starts_no_python_in_its_tasks(spark, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/run", "n long, total decimal(28,12)")
+    nothing = ledger.part("rows", "x long, s string")
+    assert "ExistingRDD" not in nothing._jdf.queryExecution().executedPlan().toString()
+    assert nothing.dtypes == [("x", "bigint"), ("s", "string"), ("trigger", "bigint")] and nothing.isEmpty()
+    ledger.commit(0, {}, lambda: {"n": 2**40, "total": Decimal("1234567890123456.123456789012")})
+    assert tuple(ledger.last()) == (0, "batch", 2**40, Decimal("1234567890123456.123456789012"))
+
+
+def test_small_tasks_hold_inside_only(spark):
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(name, None) for name in names]
+    with pytest.raises(Broken), small_tasks(spark):
+        assert [spark.conf.get(name) for name in names] == [str(4 * spark.sparkContext.defaultParallelism), "8m"]
+        raise Broken
+    assert [spark.conf.get(name, None) for name in names] == before
