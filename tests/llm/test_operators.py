@@ -478,6 +478,22 @@ def test_quality_cut_is_the_exact_quantile(spark, monkeypatch):
         assert quality.held_out_cut(docs, trusted, counts) == pytest.approx(np.quantile(scores, share) - quality.MARGIN)
 
 
+def test_quality_cut_of_few_trusted_documents(spark):
+    """The quantile of few scores is taken too, and raises the cut; without a score of a fitted model it is THRESHOLD."""
+    def cut(texts: list[str], trusted: int) -> float:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        folds = quality.trusted_folds(docs.where(F.col("doc_id") < trusted).select("doc_id", F.lit(1).alias("quality")))
+        return quality.held_out_cut(docs, folds, quality.gram_counts(docs, folds, quality.BUCKETS))
+
+    def text(kind: str, k: int) -> str:
+        return " ".join(f"{kind}{n}" for n in random.Random(k).choices(range(100), k=1000))
+
+    mixed = [text("w" if k < 20 else "v", k) for k in range(40)]
+    assert cut(mixed, 20) > 0 > quality.THRESHOLD  # trusted documents unlike the others score above 0
+    assert cut([text(f"only{k}-", k) for k in range(20)], 20) == quality.THRESHOLD  # unlike one another, they score low
+    assert cut(mixed, 1) == cut(mixed, 0) == cut(["short"] * 5, 5) == quality.THRESHOLD
+
+
 def test_quality_cut_parts_the_labels_in_every_language(spark):
     """Half of the trusted documents are held out; no labelled low-quality document may be kept."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
