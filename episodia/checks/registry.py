@@ -19,6 +19,7 @@ from ..plans import assemble, evaluation as ev, rolls as r, scoring, spells as s
 from ..plans.refresh import KeptAnswers, listed
 from ..session import materialize, shared_folder, small_tasks
 from ..sources import dialogue, results
+from ..sources.files import mounted, write_files
 from ..sources.logs import ROLL_COLUMNS, SPELL_COLUMNS, player_map, read_episode_files, read_log
 from ..sources.store import Store, store_cells, store_transcripts
 from ..streaming import run_stream as rs
@@ -792,7 +793,10 @@ def dialogue_files(spark, d) -> str:
                  F.split("utterance", " ").alias("UTTERANCES")).alias("turn"))
     rows = turns.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("seq", "turn"))).alias("turns")).select(
         "name", F.lit(0).alias("seq"), F.col("turns.turn").alias("TURNS"))
-    named_files(spark, rows, folder, "name", lambda w, path: w.json(path))
+    if (own := mounted(spark, folder)) is not None:
+        write_files(rows.select("name", F.to_json(F.struct("TURNS")).alias("json")).where("name is not null"), own, "name", "json")
+    else:
+        named_files(spark, rows, folder, "name", lambda w, path: w.json(path))
     return folder
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as fixed
 from ..functions.text import capitalise
 from ..operators.tallies import EPISODE, listing
+from .files import few_listing_tasks, mounted, write_files
 from .logs import in_file_order
 
 TURN = T.StructType([
@@ -95,12 +96,17 @@ def write_transcripts(lines: DataFrame, path: str, part_chars: int = PART_CHARS)
     """Text files under ``campaign=…/episode=…/chunk=…``, one per chunk, lines in order."""
     chunks = text_chunks(lines, part_chars)
     body = chunks.select(*EPISODE, "chunk", F.regexp_replace("text", "\n$", "").alias("value"))
-    body.write.mode("overwrite").partitionBy(*EPISODE, "chunk").text(path)
+    if (folder := mounted(lines.sparkSession, path)) is not None:
+        file = F.format_string("part-%016x.txt", F.xxhash64(*EPISODE, "chunk"))
+        write_files(body.withColumn("file", file), folder, "file", "value", (*EPISODE, "chunk"))
+    else:
+        body.write.mode("overwrite").partitionBy(*EPISODE, "chunk").text(path)
 
 
 def read_written_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Transcripts as ``write_transcripts`` left them."""
-    rows = spark.read.option("basePath", path).text(path, wholetext=True)
+    with few_listing_tasks(spark):
+        rows = spark.read.option("basePath", path).text(path, wholetext=True)
     return rows.select("campaign", F.col("episode").cast("int").alias("episode"),
                        F.col("chunk").cast("bigint").alias("chunk"),
                        F.length("value").cast("bigint").alias("chars"), F.col("value").alias("text"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from episodia.checks import registry
 from episodia.operators.ordered import list_parts
 from episodia.sources import dialogue, logs, results
 
@@ -101,6 +103,41 @@ def test_dialogue_to_transcripts_and_back(spark, tmp_path):
     assert back[("campaign2", 12)] == "Travis: So\n"
 
 
+ODD_CAMPAIGNS = ("campaign1", "a b", "50%=/x:", "é\t'", None)
+
+
+def test_transcripts_are_written_by_their_tasks(spark, tmp_path, monkeypatch):
+    """One text file per chunk in the folders and with the bytes of Spark's writer, which starts a process for each."""
+    rows = [(c, e, n << 16, None if n == 2 else f"{c} {e} {n} ü") for c in ODD_CAMPAIGNS for e in (1, 1000, None) for n in range(4)]
+    lines = spark.createDataFrame(rows, "campaign string, episode int, seq bigint, line string")
+
+    def tree(folder):
+        return sorted((str(f.parent.relative_to(folder)), f.read_bytes()) for f in folder.rglob("part-*"))
+
+    for _ in range(2):  # the second replaces the first
+        dialogue.write_transcripts(lines, str(tmp_path / "own"), part_chars=600)
+    back = dialogue.read_written_transcripts(spark, str(tmp_path / "own"))
+    assert not [f for f in tmp_path.rglob("*.crc") if f.name != "._SUCCESS.crc"]
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["own"]
+    monkeypatch.setattr(dialogue, "mounted", lambda spark, path: None)
+    dialogue.write_transcripts(lines, str(tmp_path / "spark"), part_chars=600)
+    assert tree(tmp_path / "own") == tree(tmp_path / "spark")
+    plain = dialogue.read_written_transcripts(spark, str(tmp_path / "spark"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, plain.collect()))
+    assert back.count() == dialogue.text_chunks(lines, 600).count() > 18
+
+
+def test_dialogue_files_on_other_stores_are_the_same(spark, tiny, monkeypatch):
+    def found():
+        folder = registry.dialogue_files(spark, tiny)
+        return sorted((f.name, f.read_bytes()) for f in Path(folder).glob("*.json")), list(Path(folder).glob(".*.crc"))
+
+    own, checksums = found()
+    assert len(own) == 20 and len(checksums) <= 1  # that of _SUCCESS
+    monkeypatch.setattr(registry, "mounted", lambda spark, path: None)
+    assert found()[0] == own
+
+
 def test_whole_text_transcripts(spark, tmp_path):
     (tmp_path / "C1E020.txt").write_text("Matt: one\nSam: two\n")
     (tmp_path / "notes.txt").write_text("no transcript")
